@@ -19,9 +19,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 ORACLES["op6_line_dedup"] = """
 WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents
 ), full_lines AS (
-  SELECT doc_id, line, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos
+  SELECT doc_id, line, spot, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS pos
   FROM l WHERE length(trim(line, ' ' || chr(9) || chr(13))) > 0
 ), pairs AS (
   SELECT doc_id, pos, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM full_lines
@@ -33,8 +33,8 @@ WITH l AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS n_runs
   FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
 ), kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.at) AS kept
-  FROM l LEFT JOIN full_lines f USING (doc_id, at) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = f.pos
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.spot) AS kept
+  FROM l LEFT JOIN full_lines f USING (doc_id, spot) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = f.pos
   WHERE g.doc_id IS NULL GROUP BY l.doc_id
 ), n AS (SELECT doc_id, count(*) AS n_lines FROM full_lines GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_runs, 0) AS n_runs,
