@@ -83,7 +83,8 @@ class WordEncoder:
         return ids
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.at) + len(words) > MEMO_WORDS:
+        """Knows all of `words` afterwards; the memo is emptied beforehand only."""
+        if len(self.at) + sum(w not in self.at for w in words) > MEMO_WORDS:
             self.reset()
         easy = []
         for w in words:
@@ -128,11 +129,9 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
             ids = batch.column(0).to_pylist()
             for lo in range(0, len(ids), 500):
                 part = [t.as_py().split() for t in batch.column(1)[lo:lo + 500]]
-                enc.learn({w for p in part for w in p if w not in enc.at})
+                enc.learn(set().union(*part))
                 rows = []
                 for i, words in zip(ids[lo:lo + 500], part, strict=True):
-                    if any(w not in enc.at for w in words):  # the memo was emptied meanwhile
-                        enc.learn(set(words))
                     seq = np.append(enc.encode(words), np.uint32(end_id)).astype("<u4")
                     for p, s in enumerate(range(0, len(seq), capacity)):
                         x = seq[s:s + capacity]
