@@ -35,7 +35,7 @@ from .common import Scratch, n_parts, text_bytes
 from .deep_shallow import deep_shallow, lcp
 
 GRAM = 32
-HOT = 512
+HOT = 32
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
