@@ -182,7 +182,8 @@ class Codec:
             before = w
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > MEMO_WORDS:
+        """Knows all of `words` afterwards; the memo is emptied beforehand only."""
+        if len(self.at) + sum(w not in self.at for w in words) > MEMO_WORDS:
             self.reset()
         for w, ids in self.encode_words(sorted(w for w in words if w not in self.at)):
             k, n = len(self.at), len(ids)
@@ -234,11 +235,9 @@ def _encode(path: str, with_ids: bool):
                 part = batch.slice(lo, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 words = [c.split(t) for t in texts]
-                c.learn({w for p in words for w in p if w not in c.at})
+                c.learn(set().union(*words))
                 n, crc, same, ids = [], [], [], []
                 for t, p in zip(texts, words, strict=True):
-                    if any(w not in c.at for w in p):  # the memo was emptied meanwhile
-                        c.learn(set(p))
                     x = c.gather(p)
                     n.append(len(x))
                     crc.append(zlib.crc32(x.astype("<u4").tobytes()))
