@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import scans
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in (scans,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
