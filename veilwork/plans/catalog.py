@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import scans
+from . import derived, scans
+from .flow import flagship  # noqa: F401
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (scans,):
+for _m in (scans, derived):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
