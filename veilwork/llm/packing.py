@@ -151,18 +151,20 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of each size, in the order given, and the number of bins.
-    Ties go to the tightest gap; a new bin is opened only if that is smaller."""
+    Ties go to the tightest gap.  A bin is opened only where no open one has
+    room: sizes are known beforehand and come largest first, so keeping gaps
+    spread by opening bins early only costs bins."""
     n_open = np.zeros(capacity + 1, np.int64)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset, bins = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
     for i, s in enumerate(sizes.tolist()):
-        # change of the sum by taking a bin of gap s, s+1, ... capacity (none open there: a new bin)
+        # change of the sum by taking an open bin of gap s, s+1, ... capacity
         grow = 2 * n_open[:capacity - s + 1] + 1
         grow[0] = 0
         cost = grow - 2 * n_open[s:] + 1
         cost[n_open[s:] == 0] = 1 << 40
-        cost[-1] = grow[-1]
-        g = s + int(cost.argmin())
+        j = int(cost.argmin())
+        g = capacity if cost[j] >= 1 << 40 else s + j
         if g == capacity:
             b, bins = bins, bins + 1
         else:
