@@ -199,11 +199,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is left: members of a list in different components, other than by its first
     placed = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("a0")).where("lo < hi").select("v", "a0")
-    open_ = scratch.save(placed.join(mixed, "v"))
-    x = open_.select("v", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("c").alias("c1"), "a0")
-    y = open_.select("v", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    open_ = scratch.save(placed.join(mixed, "v").join(classes.select("id", "sketch"), "id"))
+    x = open_.select("v", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("c").alias("c1"), "a0", F.col("sketch").alias("sa"))
+    y = open_.select("v", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("sketch").alias("sb"))
+    # sketches are compared inside the join, so a list of texts that share a
+    # passage but little else yields no rows
+    both = F.size(F.array_intersect("sa", "sb"))
+    shared = F.when((F.col("n1") <= k) & (F.col("n2") <= k), both * 100 >= (F.col("n1") + F.col("n2") - both) * percent).otherwise(both >= required_overlap(k, percent))
     near = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("a0")) & (F.col("c1") != F.col("c2")) & near).select("a", "b").distinct()
+    rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("a0")) & (F.col("c1") != F.col("c2")) & near & shared).select("a", "b").distinct()
     more = _links(scratch, rest, classes, texts, width, percent, k)
     comp = scratch.save(connected_components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     member = known.join(classes.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"]).select("id", "n", "s1", "s2", "rep")
