@@ -235,7 +235,7 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         p, q = (bad[w] + 0.1) / (n1 + 0.2), (good[w] + 0.1) / (n0 + 0.2)
         return p * np.log(p / q) if p > q else 0.0
 
-    ranked = sorted((w for w in bad if bad[w] >= max(min(5, n1), 0.01 * n1) and len(w) >= 3), key=lambda w: (-gain(w), w))
+    ranked = sorted((w for w in bad if bad[w] >= max(5, 0.01 * n1) and len(w) >= 3), key=lambda w: (-gain(w), w))
     # one landmark for each family of similar words that explains toxic documents
     top = gain(ranked[0]) if ranked else 0.0
     cand = [w for w in ranked if gain(w) >= 0.04 * top and good[w] * n1 <= 0.2 * bad[w] * n0 and len(w) < 32][:600]
@@ -252,8 +252,8 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
             family.update(kin)
             taken |= alike[k]
             left -= docs
-    if not chosen:
-        chosen = ranked[:landmarks // 2] or sorted(bad)[:landmarks // 2]
+    if not chosen:  # nothing in so few labels tells the classes apart: accuse nobody
+        return Model([], np.zeros(0, np.float32), 0.0, 1.0, -5.0)
     family.update(chosen)
     clean = sorted(good)
     few = [clean[i] for i in rng.permutation(len(clean))[:20_000]]
@@ -386,7 +386,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     Scores depend on the text alone.  Null and empty texts score as a text
     without units.  Repeated rows and ids are scored each; a null doc_id is
     not held out and never a label.  Without labels of both classes nothing
-    (or everything) is toxic.  Very long texts are scored whole.  An empty
+    (or everything) is toxic; where no word stands out, nothing is.  Very long texts are scored whole.  An empty
     table gives an empty result.
     """
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model or fit(docs, labels))
