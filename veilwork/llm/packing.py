@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,6 @@ SEQUENCE = 4096
 END_ID = 1
 LANE_ROWS = 50_000
 MEMO_WORDS = 500_000
-SEPARATOR, SEPARATOR_ID = "<|startoftext|>", 49406
 
 
 def default_tokenizer() -> str:
@@ -32,87 +32,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Token ids of whole texts through a memo of white-space separated words.
+class WordEncoder(dict):
+    """Token ids of white-space separated words, as little-endian 32-bit bytes.
 
     The tokenizer drops white space before anything else, so a text's ids are
-    its words' ids one after the other.  A word of Latin letters with at most
-    one kind of mark after it is lower-cased here and goes to the merging model
-    directly, once for all its spellings; other unknown words of a batch are
-    encoded together with a special token between them, and alone if they might
-    hold one themselves.
+    its words' ids one after the other, and joining bytes puts them together.
+    A word is looked up in this dict and encoded where it is missing: Latin
+    letters with marks after them are two pieces that are lower-cased here and
+    go to the merging model directly, once for all spellings; other words go
+    through the whole tokenizer.  Both memos are emptied when they are full.
     """
 
     #: Letters whose case mapping and normal form are single and the same
     #: everywhere: the Latin letters below U+0180 but for the dotted capital I.
-    LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)([.,!?;:]*)")
+    #: ASCII marks but for the apostrophe, which the tokenizer may cut after.
+    LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)([!-&(-/:-@[-`{-~]*)").fullmatch
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.joined, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.merge = self.whole.model.tokenize
         # printable bytes stand for themselves, the others follow from U+0100 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.as_text = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.reset()
-
-    def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _store(self, word: bytes, ids: np.ndarray | list[int]) -> None:
-        k, n = len(self.at), len(ids)
-        if k == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + n] = ids
-        self.at[word], self.start[k], self.size[k] = k, self.used, n
-        self.used += n
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            text = part if part.isascii() else "".join(map(self.as_text.__getitem__, part.encode()))
-            ids = self.parts[part] = [t.id for t in self.plain.model.tokenize(text)]
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= MEMO_WORDS:
+            self.parts.clear()
+        text = part if part.isascii() else "".join(map(self.as_text.__getitem__, part.encode()))
+        ids = self.parts[part] = array("I", [t.id for t in self.merge(text)]).tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        text, parts = word.decode(), self.parts
+        if m := self.LATIN(text):
+            letters, marks = m.groups()
+            letters = letters.lower()
+            ids = parts.get(letters) or self._part(letters)
+            if marks:
+                ids += parts.get(marks) or self._part(marks)
+        else:
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Knows all of `words` afterwards; the memo is emptied beforehand only."""
-        if len(self.at) + sum(w not in self.at for w in words) > MEMO_WORDS:
-            self.reset()
-        easy = []
-        for w in words:
-            if w in self.at:
-                continue
-            m = self.LATIN.fullmatch(w.decode())
-            if m:
-                ids = self._part(m[1].lower())
-                self._store(w, ids + self._part(m[2]) if m[2] else ids)
-            elif b"<|" not in w:
-                easy.append(w)
-            else:
-                self._store(w, np.array(self.plain.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
-        for i in range(0, len(easy), 2048):
-            part = easy[i:i + 2048]
-            ids = np.array(self.joined.encode(SEPARATOR.join(w.decode() for w in part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == SEPARATOR_ID)
-            lo = 0
-            for w, hi in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self._store(w, ids[lo:hi])
-                lo = hi + 1
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        size, start = self.size[k], self.start[k]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(start - (ends - size), size)]
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -125,17 +98,16 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         enc = _encoders[path]
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo in range(0, len(ids), 500):
-                part = [t.as_py().split() for t in batch.column(1)[lo:lo + 500]]
-                enc.learn(set().union(*part))
                 rows = []
-                for i, words in zip(ids[lo:lo + 500], part, strict=True):
-                    seq = np.append(enc.encode(words), np.uint32(end_id)).astype("<u4")
-                    for p, s in enumerate(range(0, len(seq), capacity)):
-                        x = seq[s:s + capacity]
-                        rows.append((i, p, s, len(x), zlib.crc32(x.tobytes()), x if with_ids else None))
+                for i, t in zip(ids[lo:lo + 500], batch.column(1)[lo:lo + 500], strict=True):
+                    seq = enc.encode(t.as_py()) + end
+                    for p, s in enumerate(range(0, len(seq) // 4, capacity)):
+                        x = seq[4 * s:4 * (s + capacity)]
+                        rows.append((i, p, s, len(x) // 4, zlib.crc32(x), np.frombuffer(x, "<u4") if with_ids else None))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 arrays = [pa.array(c, f.type) for c, f in zip(cols, PIECES, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays[:6 if with_ids else 5], schema=PIECES if with_ids else pa.schema(list(PIECES)[:5]))
