@@ -17,7 +17,10 @@ each byte:
    longest-common-prefix arrays give every pair's match around the anchor, and
    the ones of `length` bytes or more mark what is repeated.
 4. A group of more than `hot` different domains is never gathered: its windows
-   are counted by 128-bit hashes with partial aggregation.
+   are counted by 128-bit hashes with partial aggregation.  Blocks of windows
+   are counted first; the windows of a block that many domains share are
+   written for one of them only.  All windows of a domain hold its anchor, so
+   its first and last repeated ones span everything that goes.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from .deep_shallow import deep_shallow, lcp
 
 GRAM = 32
 HOT = 32
+BLOCK = 8
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,6 +76,13 @@ def anchors(text: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.
     return h[q].view(np.int64), q, first, last
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices, so that no worker holds the Python objects of a whole batch."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 OCC = pa.schema([("kg", pa.int64()), ("ch", pa.int64()), ("id", pa.int64()), ("p0", pa.int32()), ("lf", pa.int16()), ("ln", pa.int32())])
 
 
@@ -101,11 +112,15 @@ CTX = pa.schema([("kg", pa.int64()), ("uniq", pa.bool_()), ("id", pa.int64()), (
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, requests) to the bytes of each request."""
-    for batch in batches:
+    for batch in _small(batches):
         rows: list[tuple] = []
         for i, t, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             b = t.as_py()
-            rows += [(w["kg"], w["uniq"], i, w["p0"], w["lf"], b[w["p0"]:w["p0"] + w["ln"]]) for w in want.as_py()]
+            for w in want.as_py():
+                c = b[w["p0"]:w["p0"] + w["ln"]]
+                # another text of the same id has other bytes there
+                if xxhash.xxh3_64_intdigest(c, w["lf"]) == w["ch"] & (1 << 64) - 1:
+                    rows.append((w["kg"], w["uniq"], i, w["p0"], w["lf"], c))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, CTX, strict=True)], schema=CTX)
 
@@ -149,7 +164,7 @@ def _edges(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for batch in batches:
+        for batch in _small(batches):
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][0] != row[0]:
@@ -168,22 +183,64 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SPAN, strict=True)], schema=SPAN)
 
 
-WIN = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("uniq", pa.bool_()), ("id", pa.int64()), ("s", pa.int32())])
+BLK = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("kg", pa.int64()), ("id", pa.int64()), ("p0", pa.int32()), ("k", pa.int32())])
 
 
-def _windows(length: int):
+def _halves(b: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(b)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _blocks(length: int, block: int):
+    """(kg, id, p0, lf, ctx) to the hash of each whole block of windows, dealt
+    from the anchor so that equal blocks start at the same distance to it."""
+    size = length + block - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
+            rows = [(*_halves(ctx[k:k + size]), kg, i, p0, k) for kg, i, p0, lf, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    for k in range(lf % block, len(ctx) - size + 1, block)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BLK, strict=True)], schema=BLK)
+    return run
+
+
+WIN = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("ask", pa.bool_()), ("id", pa.int64()), ("p0", pa.int32()), ("k", pa.int32())])
+
+
+def _windows(length: int, block: int):
+    """(uniq, id, p0, ctx, blocks) to window hashes.  A repeated block's windows
+    come from the domain that stands for it; `ask` marks the windows that could
+    widen what a domain's repeated blocks span."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
             rows = []
-            for _, uniq, i, p0, _, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k in range(len(ctx) - length + 1):
-                    d = xxhash.xxh3_128_digest(ctx[k:k + length])
-                    rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), uniq, i, p0 + k))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            for uniq, i, p0, ctx, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ks = [x["k"] for x in blocks or ()]
+                lo, hi = (min(ks), max(ks) + block) if ks else (len(ctx), 0)
+                skip = {k for x in blocks or () if not x["stands"] for k in range(x["k"], x["k"] + block)}
+                rows += [(*_halves(ctx[k:k + length]), uniq and not lo <= k < hi, i, p0, k) for k in range(len(ctx) - length + 1) if k not in skip]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, WIN, strict=True)], schema=WIN)
     return run
 
 
+def _hot_spans(scratch: Scratch, ctx: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
+    """(id, s, e) for (kg, uniq, id, p0, lf, ctx) of groups of any size."""
+    blk = scratch.save(ctx.select("kg", "id", "p0", "lf", "ctx").mapInArrow(_blocks(length, block), "h1 long, h2 long, kg long, id long, p0 int, k int"))
+    shared = blk.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("kg", "id", "p0")).alias("one")).where("c > 1")
+    stands = F.struct("kg", "id", "p0") == F.col("one")
+    seen = scratch.save(blk.join(shared, ["h1", "h2"]).groupBy("kg", "id", "p0").agg(F.collect_list(F.struct("k", stands.alias("stands"))).alias("blocks")))
+    win = scratch.save(ctx.join(seen, ["kg", "id", "p0"], "left").select("uniq", "id", "p0", "ctx", "blocks")
+                       .mapInArrow(_windows(length, block), "h1 long, h2 long, ask boolean, id long, p0 int, k int"))
+    twice = win.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    wider = win.where("ask").join(twice, ["h1", "h2"]).select("id", (F.col("p0") + F.col("k")).alias("s"), (F.col("p0") + F.col("k") + length).alias("e"))
+    known = seen.join(ctx.where("uniq").select("kg", "id", "p0").distinct(), ["kg", "id", "p0"]).select(
+        "id", (F.col("p0") + F.array_min("blocks.k")).alias("s"), (F.col("p0") + F.array_max("blocks.k") + (block - 1 + length)).alias("e"))
+    scratch.drop(blk)
+    return known.unionByName(wider)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, spans array<struct<s,e>>): byte ranges to remove, possibly overlapping."""
     spark = docs.sparkSession
@@ -197,17 +254,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = rep.join(cls.where("c > 1").select("kg", "ch"), ["kg", "ch"]).select("id", F.col("p0").alias("s"), (F.col("p0") + F.col("ln")).alias("e"))
     kinds = cls.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1")
     # the bytes of the different domains below one k-gram
-    want = cls.join(kinds, "kg").select("one.id", F.struct("kg", (F.col("c") == 1).alias("uniq"), "one.p0", F.col("one.lf").cast("int").alias("lf"), "one.ln", (F.col("m") > hot).alias("hot")).alias("w"))
+    want = cls.join(kinds, "kg").select("one.id", F.struct("kg", (F.col("c") == 1).alias("uniq"), "one.p0", F.col("one.lf").cast("int").alias("lf"), "one.ln", "ch").alias("w"))
     asked = want.groupBy("id").agg(F.collect_list("w").alias("want"))
-    ctx = scratch.save(src.join(asked, "id").select("id", "t", "want").mapInArrow(_cut, "kg long, uniq boolean, id long, p0 int, lf int, ctx binary"))
-    ctx = ctx.join(kinds.where(F.col("m") > hot).select("kg", F.lit(True).alias("hot")), "kg", "left") if hot else ctx
+    ctx = scratch.save(src.withColumn("id", F.coalesce("id", F.lit(-1))).join(asked, "id").select("id", "t", "want").mapInArrow(_cut, "kg long, uniq boolean, id long, p0 int, lf int, ctx binary"))
+    ctx = ctx.join(kinds.where(F.col("m") > hot).select("kg", F.lit(True).alias("hot")), "kg", "left")
     few = ctx.where("hot is null").select("kg", "uniq", "id", "p0", "lf", "ctx").repartition(n_parts(spark), "kg").sortWithinPartitions("kg")
     edges = few.mapInArrow(_edges(length, gram), "id long, s int, e int")
-    many = ctx.where("hot").select("kg", "uniq", "id", "p0", "lf", "ctx").mapInArrow(_windows(length), "h1 long, h2 long, uniq boolean, id long, s int")
-    many = scratch.save(many)
-    twice = many.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    single = many.where("uniq").join(twice, ["h1", "h2"]).select("id", "s", (F.col("s") + length).alias("e"))
-    spans = scratch.save(whole.unionByName(edges).unionByName(single).where("id is not null and id <> -1"))
+    many = _hot_spans(scratch, scratch.save(ctx.where("hot").select("kg", "uniq", "id", "p0", "lf", "ctx")), length)
+    spans = scratch.save(whole.unionByName(edges).unionByName(many).where("id is not null and id <> -1"))
     scratch.drop(rep)
     return spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -226,7 +280,7 @@ def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
 
 
 def _cleaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         n, gone, runs, sha, kept = [], [], [], [], []
         for t, spans in zip(batch.column(1), batch.column(2), strict=True):
             b = t.as_py()
