@@ -98,6 +98,18 @@ def test_repeats(spark, corpus, hot):
         assert got[i] == (len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+@pytest.mark.parametrize("hot", [32, 1])
+def test_repeats_of_odd_ids(spark, hot):
+    """A row without an id is compared, and one id's texts do not mix."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    passage, own = words(60), words(60)
+    rows = [(None, words(40) + passage + words(40)), (5, words(50) + passage + words(30)), (6, own), (6, words(70))]
+    got = without_repeats(frame(spark, rows), hot=hot).collect()
+    assert {r.n_removed for r in got if r.doc_id == 5} == {len(passage)}
+    assert {r.n_removed for r in got if r.doc_id != 5} == {0}
+
+
 def test_deep_shallow_sort():
     rng = random.Random(1)
     for known in (0, 3):
