@@ -13,6 +13,10 @@ from veilwork.llm.repeats import without_repeats
 from veilwork.llm.toxicity import fit, scored
 
 
+#: A column of near_dedup that no table has.
+KEY = "near_dedup key"
+
+
 def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents from (row, kept): the new text and its length."""
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
@@ -31,10 +35,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(out, docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a column KEY, one value for each id and text: the id
+    itself, so that earlier documents still lead their groups; a hash above all
+    usual ids where there is no id or an id has different texts."""
+    h = F.xxhash64("text")
+    several = docs.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("doc_id", F.lit(True).alias(KEY))
+    odd = F.col("doc_id").isNull() | F.col(KEY).isNotNull()
+    key = F.when(odd, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))).otherwise(F.col("doc_id").cast("long"))
+    return docs.join(Scratch(spark).save(several), "doc_id", "left").select(*docs.columns, key.alias(KEY))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates stays, the one of the
+    smallest id (null last).  Rows with one id and one text are one document;
+    rows with one id and different texts, or without an id, are documents of
+    their own."""
+    keyed = _keyed(spark, docs)
+    group = near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    first = F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias(KEY)
+    stay = group.join(keyed.select(KEY, "doc_id").distinct(), KEY).groupBy("component_id").agg(first).select(KEY)
+    return keyed.join(stay, KEY, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

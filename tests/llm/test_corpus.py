@@ -130,6 +130,25 @@ def test_line_runs(spark):
     assert three == {1: 0, 2: 3, 3: 0}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    """A clean document whose row is repeated comes out once, and so do exact
+    copies under no id and texts of one id that has a copy elsewhere."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    clean = ["".join(" " if rng.random() < 0.15 else chr(rng.integers(97, 123)) for _ in range(400)) for _ in range(6)]
+    rows = [(1, clean[0])] * 3 + [(2, clean[1]), (3, clean[2]), (None, clean[3]), (None, clean[3]), (7, clean[4]), (7, clean[2]), (9, clean[4]), (None, clean[5]), (4, clean[5])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, clean.index(r.text)) for r in docs.collect())
+    assert got == [(-1, 3), (1, 0), (2, 1), (3, 2), (4, 5), (7, 4)]
+
+
 def test_shards(spark, corpus):
     got = shard_documents(frame(spark, corpus), shards=5).collect()
     assert len(got) == len(corpus) and {r.shard for r in got} <= set(range(5))
