@@ -235,6 +235,31 @@ def test_nearest(spark):
     assert hit >= 0.9 * all_ and set(got) == {i for i in x if i % 50 == 0}
 
 
+@pytest.mark.parametrize("n", [2, 40])
+def test_repeated_ids_leave_room_for_others(spark, n):
+    """Each row n times, a third of all rows with one id: k others are found."""
+    x = np.round(np.random.default_rng(2).normal(size=(60, 8)), 2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(n)] + [(0, x[0].tolist())] * (30 * n)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = np.floor(x * 1024)
+    ids = np.array([i for i, _ in rows])
+    for q in (0, 50):
+        score = whole[ids] @ whole[q]
+        want = sorted((-s, i) for s, i in zip(score.tolist(), ids.tolist(), strict=True) if i != q)[:10]
+        got = sorted(tuple(r) for r in cover_tree.top_inner_products(df, every=50).where(F.col("query_id") == q).collect())
+        assert [(-r[3], r[2]) for r in got] == want
+        cos = (x[ids] @ x[q]) / (np.sqrt((x[ids] ** 2).sum(1)) * np.sqrt((x[q] ** 2).sum()))
+        want = [i for _, i in sorted((-round(s, 9), i) for s, i in zip(cos.tolist(), ids.tolist(), strict=True) if i != q)[:5]]
+        assert [r.vec_id for r in ann.nearest(df).where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
+def test_nearest_of_one_vector_held_by_the_query(spark):
+    """All rows have one vector, and the query's id holds most of them."""
+    rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(1, 8)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 6)]
+
+
 def test_toxicity_learns_variants(spark):
     rng = random.Random(5)
     rows, labels = [], []

@@ -69,14 +69,14 @@ class Forest:
 
 
 def search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int, leaf: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal vectors are one entry of the index with their k + 1 smallest ids,
-    of which no query can report more."""
+    """Equal vectors are one entry of the index; a query takes the k smallest of
+    their ids that are not its own."""
     order = np.argsort(ids, kind="stable")
     ids, data = ids[order], data[order]
     distinct, owner = np.unique(data, axis=0, return_inverse=True)
     owner = owner.ravel()
     by = np.argsort(owner, kind="stable")
-    first = np.searchsorted(owner[by], np.arange(len(distinct) + 1))
+    named, first = ids[by], np.searchsorted(owner[by], np.arange(len(distinct) + 1))
     norm = np.sqrt((distinct * distinct).sum(1))
     forest = Forest(distinct / norm[:, None], trees, leaf)
     out = []
@@ -89,7 +89,9 @@ def search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np
             if len(mine) >= k and score[c] < mine[k - 1][0]:
                 break
             r = rows[c]
-            mine += [(float(score[c]), i) for i in ids[by[first[r]:first[r + 1]][:k + 1]].tolist() if i != qi]
+            copies = named[first[r]:first[r + 1]]
+            own, after = (np.searchsorted(copies, qi, side) for side in ("left", "right"))
+            mine += [(float(score[c]), i) for i in [*copies[:min(own, k)].tolist(), *copies[after:after + k].tolist()][:k]]
             mine.sort(key=lambda t: (-t[0], t[1]))
             del mine[k:]
         out += [(qi, i, s) for s, i in mine]

@@ -104,13 +104,13 @@ def search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np
             for row, i in enumerate(q.rows.tolist()):
                 line, mine = s[row], best[i]
                 floor = mine[0][0] if len(mine) >= k else None
-                cand = np.arange(len(r.rows)) if floor is None else np.flatnonzero(line >= floor)
-                if len(cand) > k + 1:
+                # the query's own rows go before the cut: a repeated id has many
+                ok = ids[r.rows] != query_ids[i]
+                cand = np.flatnonzero(ok if floor is None else ok & (line >= floor))
+                if len(cand) > k:
                     # by score, then by id: rows are in the order of ids
-                    cand = cand[np.lexsort((cand, -line[cand]))[:k + 1]] if line.dtype != object else sorted(cand.tolist(), key=lambda c: (-line[c], c))[:k + 1]
+                    cand = cand[np.lexsort((cand, -line[cand]))[:k]] if line.dtype != object else sorted(cand.tolist(), key=lambda c: (-line[c], c))[:k]
                 for c in cand:
-                    if ids[r.rows[c]] == query_ids[i]:
-                        continue
                     item = (line[c], -int(ids[r.rows[c]]))
                     if len(mine) < k:
                         heapq.heappush(mine, item)
