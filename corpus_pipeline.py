@@ -30,8 +30,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and documents that were nothing else."""
-    out = dedup_lines(docs, carry=True).where("n_removed = 0 or n_removed < n_lines")
+    """Later copies of repeated line runs and of single lines of over 50 words
+    go, and documents that were nothing else."""
+    out = dedup_lines(docs, carry=True, long_words=50).where("n_removed = 0 or n_removed < n_lines")
     return _with_text(out, docs.columns)
 
 

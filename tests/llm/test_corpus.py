@@ -1,4 +1,5 @@
 import hashlib
+import importlib
 import math
 import random
 import zlib
@@ -130,6 +131,17 @@ def test_line_runs(spark):
     assert three == {1: 0, 2: 3, 3: 0}
 
 
+def test_long_single_lines(spark):
+    """Between different neighbours, and where a document is that one line."""
+    rng = random.Random(9)
+    long, edge = words(rng, 51), words(rng, 50)
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{long}"), (3, long), (4, f"e\n{edge}"), (5, f"f\n{edge}"), (6, "a")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in dedup_lines(frame(spark, rows), long_words=50).collect()}
+    assert got == {1: (3, 0, 0, rows[0][1]), 2: (4, 2, 2, "c\nd"), 3: (1, 1, 1, ""), 4: (2, 0, 0, rows[3][1]), 5: (2, 0, 0, rows[4][1]), 6: (1, 0, 0, "a")}
+    stage = importlib.import_module("corpus_pipeline").line_dedup(spark, frame(spark, rows), "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {1: rows[0][1], 2: "c\nd", **dict(rows[3:])}
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     """A clean document whose row is repeated comes out once, and so do exact
     copies under no id and texts of one id that has a copy elsewhere."""

@@ -26,6 +26,11 @@ def _blank(line):
     return F.length(F.btrim(line, F.lit(" \t\r"))) == 0
 
 
+def _words_over(line: str, n: int):
+    """Whether a line has more than n words; a word and its space are two characters at least."""
+    return (F.length(line) > 2 * n) & (F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) > n)
+
+
 def _named(scratch: Scratch, places: DataFrame, key: list[str]) -> DataFrame:
     """(doc, pos, d, p): the first place (d, p) with the same key; keys that
     only one place has are left out."""
@@ -52,7 +57,7 @@ def repeated_runs(lines: DataFrame, scratch: Scratch, min_lines: int) -> DataFra
     return names.where((F.col("doc") != F.col("d")) | (F.col("pos") != F.col("p"))).select("doc", "pos")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: bool = False, long_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_runs, kept (the text).
 
     Lines end at a newline; blank ones (only spaces, tabs and carriage
@@ -61,7 +66,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of their ids, null first; n_runs counts maximal deleted runs.  A null text
     has no lines and stays null.  Rows with one id and one text are one
     document and lose the same lines; rows with one id and different texts are
-    different documents.  With `carry` the other columns come along in a struct
+    different documents.  With `long_words` a single line of more words than that
+    is a run too: its later copies go whatever stands around them.  With `carry` the other columns come along in a struct
     `row`, whatever their names.  An empty table gives an empty result.  Other columns
     are not read.
     """
@@ -70,10 +76,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("h")).alias("doc"), t.alias("t"),
                        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []))
     full = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: ~_blank(x["line"]))
-    each = rows.select("doc", F.posexplode(full).alias("pos", "x")).select("doc", "pos", F.col("x.at").alias("at"), F.xxhash64("x.line").alias("l1"), F.xxhash64(F.lit(7), "x.line").alias("l2"))
+    each = rows.select("doc", F.posexplode(full).alias("pos", "x")).select("doc", "pos", F.col("x.at").alias("at"), F.xxhash64("x.line").alias("l1"), F.xxhash64(F.lit(7), "x.line").alias("l2"),
+                                                                                       *([_words_over("x.line", long_words).alias("long")] if long_words is not None else []))
     lines = scratch.save(each)
-    later = repeated_runs(lines.drop("at"), scratch, min_lines)
-    gone = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
+    places = lines.select("doc", "pos", "l1", "l2")
+    later = repeated_runs(places, scratch, min_lines)
+    gone = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
+    if long_words is not None:
+        gone = gone.unionByName(repeated_runs(lines.where("long").select(places.columns), scratch, 1))
+    gone = gone.distinct()
     # only documents that lose lines are put together anew
     ats = lines.join(gone, ["doc", "pos"]).groupBy("doc").agg(F.collect_set("at").alias("cut"), F.collect_set("pos").alias("ps"))
     ats = scratch.save(ats.select("doc", "cut", F.size(F.filter("ps", lambda p: ~F.array_contains("ps", p - 1))).alias("runs")))
