@@ -1,15 +1,16 @@
 """Deletion of repeated runs of lines.
 
-The corpus is a sequence of line ids; suffixes are named by distributed prefix
-doubling: after h rounds two places have the same name if they agree on 2**h
-lines, and a name is the first place that has it.  Two overlapping names reach
-any depth between powers of two.  The places below one name at depth
-`min_lines` are the leaves of an interval of the suffix array whose longest
-common prefix is at least `min_lines`; the union of such windows over
-neighbouring places is exactly the maximal repeated run.  The first place of
-each interval stays, the lines below every later one go.
-
-Places that are alone in their interval leave after each round, so only lines
+The corpus is a sequence of line ids.  Places are grouped by the lines that
+start there, up to `min_lines` deep, and a group's name is its first place;
+depths beyond two are reached by doubling, two overlapping names for those
+between powers of two.  No suffix array is sorted and no longest-common-prefix
+intervals are built: a group at depth `min_lines` holds just the places that a
+suffix array has in one interval of that common prefix, and the deletions need
+no greater depth, since a run of more lines is the union of its windows of
+`min_lines`.  With the threshold of two there is one grouping and no doubling.
+The first place of each group stays, the lines below every later one go.
+
+Places that are alone in their group leave after each round, so only lines
 that repeat are shuffled again.
 """
 
