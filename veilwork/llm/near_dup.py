@@ -11,10 +11,17 @@ shingle sets confirms every link.
   the threshold itself (exactly, for sets that the sketch holds whole), so only
   the `k - need + 1` rarest values of a sketch have to be looked up: frequent
   values lead nobody anywhere and their lists stay closed.
-* A list first links its members to its smallest member; only members that are
-  then still in different components are compared pairwise.  A group of near
-  copies therefore costs a row for each member and value, not for each pair,
-  and no link that could join two components is skipped.
+* A coarse sketch, the first values of the full one, goes first: a class that
+  has too many values of its own there is left out of the lists, so only
+  classes that can have a partner pay for all k values.
+* A list first links its members to its most central one, whose values the most
+  others retain: in a group of near copies that is the least edited.  Members
+  of lists that then still hold different components get new lists from deeper
+  sketches, which hold all but very long sets whole: there a pair has to share
+  one of the few values that its two sizes allow to come before the overlap,
+  and only pairs of different components come out.  A group of near copies
+  therefore costs a row for each member and value, not for each pair, and no
+  link that could join two components is skipped.
 """
 
 from __future__ import annotations
@@ -25,13 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, n_parts, text_bytes
 from .components import connected_components
 
 MEMO = 1 << 19
+#: Values of a sketch, of the coarse one, and of the one for what is left in mixed lists.
+RETAINED, COARSE, DEEP = 96, 32, 1024
+#: Listed values that a pair shares at least, and members up to which a list's pairs are all counted.
+SHARED, SMALL = 8, 4
+#: Rounds in which lists of deep sketches link their members to one of them before all pairs are asked for.
+ROUNDS = 2
 
 
 class _WordHash(dict):
@@ -54,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the `width`-word shingles.  Words are
+    """Sorted distinct 64-bit hashes of the `width`-word shingles, as signed numbers.  Words are
     runs of bytes that are not ASCII white space, ASCII letters lower-cased;
     with fewer words than `width` the whole sequence is the one shingle."""
     words = text.lower().split()
@@ -66,11 +79,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     acc = np.full(m, np.uint64(min(n, width)))
     for i in range(min(n, width)):
         acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i:i + m])
-    return np.unique(acc).view(np.int64)
-
-
-def _hash_order(s: np.ndarray) -> np.ndarray:
-    return np.sort(s.view(np.uint64)).view(np.int64)
+    return np.unique(acc.view(np.int64))
 
 
 def required_overlap(k: int, percent: int) -> int:
@@ -80,6 +89,14 @@ def required_overlap(k: int, percent: int) -> int:
     return max(1, math.floor(t * k - 4.5 * math.sqrt(k * t * (1 - t))))
 
 
+def _floor_of(k: int, union: Column, percent: int) -> Column:
+    """The same for a union of known size: a sketch is drawn from it without
+    replacement, so it varies less the more of the union it holds."""
+    t = percent / 100
+    left = F.greatest(union - k, F.lit(0.0)) / F.greatest(union - 1, F.lit(1.0))
+    return F.lit(t * k) - F.lit(4.5 * math.sqrt(k * t * (1 - t))) * F.sqrt(left)
+
+
 SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
 
@@ -88,7 +105,7 @@ def _sketcher(width: int, k: int):
         for batch in batches:
             ids, n, s1, s2, sk = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = _hash_order(shingle_set(t.as_py(), width))
+                s = shingle_set(t.as_py(), width)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 ids.append(i)
                 n.append(len(s))
@@ -104,52 +121,110 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
         _sketcher(width, k), "id long, n long, s1 long, s2 long, sketch array<long>")
 
 
-def _postings(scratch: Scratch, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, id, n): the rarest retained values of each class that others retain too."""
-    need = required_overlap(k, percent)
-    whole = F.ceil(F.col("n") * percent / 100)
-    # partners of a set of under k*percent/100 shingles are held whole as well
-    least = F.when(F.col("n") * 100 < k * percent, whole).otherwise(F.lit(need))
-    held = F.least("n", F.lit(k))
-    values = classes.select("id", "n", (held - least + 1).alias("prefix"), F.explode("sketch").alias("v"))
-    df = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+def _unlike(n: Column, k: int, percent: int) -> Column:
+    """How many of a sketch's values a partner may lack: of a union of up to k
+    shingles, held whole, as many as the threshold allows, and of larger ones
+    what the estimate may differ by; a set's unions have n to n / threshold."""
+    sampled = F.greatest(F.lit(required_overlap(k, percent)), F.floor(_floor_of(k, n.cast("double") / (percent / 100), percent)))
+    whole = F.ceil(n * percent / 100)
+    least = F.when(n * 100 < k * percent, whole).when(n <= k, F.least(whole, sampled)).otherwise(sampled)
+    return F.least(n, F.lit(k)) - least
+
+
+def _shared(values: DataFrame) -> DataFrame:
+    """(v, df): values that several classes retain."""
+    return values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent: int) -> DataFrame:
+    """(v, id, n, central, share): the rarest retained values of each class that
+    others retain too; central grows with how many others retain its values.
+    As many as make a pair share at least `share` of them, whatever its sizes."""
+    few = classes.select("id", "n", F.explode(F.slice("sketch", 1, coarse)).alias("v"))
+    own = F.least("n", F.lit(coarse)) - F.col("common")
+    able = scratch.save(few.join(scratch.save(_shared(few)), "v").groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("common"))
+                        .where(own <= _unlike(F.col("n"), coarse, percent)).select("id"))
+    values = scratch.save(classes.join(able, "id", "left_semi").select("id", "n", F.explode("sketch").alias("v")))
+    shared = values.join(scratch.save(_shared(values)), "v")
     # values nobody else retains are the rarest: they fill the prefix first
-    shared = values.join(df, "v")
-    kept = shared.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-                                    F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.first(F.lit(1)).alias("one"))
-    sizes = F.least("n", F.lit(k))
-    take = F.col("prefix") - (sizes - F.size("vs"))
-    return scratch.save(kept.where(take > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x"))
-                        .select(F.col("x.v").alias("v"), "id", "n"))
-
-
-def _estimated(pairs: DataFrame, sk: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose union sketch shows enough shared values."""
-    a = sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    b = sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    j = pairs.join(a, "a").join(b, "b")
-    j = j.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    both = F.array_intersect("sa", "sb")
-    union = F.array_union("sa", "sb")
-    # the k smallest of the union, in the hash's unsigned order
-    flip = F.lit(-(1 << 63))
-    order = lambda c: F.transform(c, lambda x: x.bitwiseXOR(flip))
-    edge = F.element_at(F.array_sort(order(union)), F.least(F.lit(k), F.size(union)))
-    seen = F.size(F.filter(order(both), lambda x: x <= edge))
-    size = F.least(F.lit(k), F.size(union))
-    t = percent / 100
-    exact = (F.col("na") <= k) & (F.col("nb") <= k)
-    floor = size * t - F.lit(4.5) * F.sqrt(size * t * (1 - t))
-    return j.where(F.when(exact, F.size(both) * 100 >= F.size(union) * percent).otherwise(seen >= floor)).select("a", "b")
+    kept = shared.groupBy("id").agg(F.first("n").alias("n"), F.sum("df").alias("central"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    take = _unlike(F.col("n"), k, percent) + SHARED - (F.least("n", F.lit(k)) - F.size("vs"))
+    # a partner has percent * n shingles at least, and shares percent of them
+    share = F.least(F.lit(SHARED), F.ceil(F.col("n") * (percent * percent) / 10_000)).cast("int")
+    out = scratch.save(kept.where(take >= share).select("id", "n", "central", share.alias("share"), F.explode(F.slice("vs", F.lit(1), take.cast("int"))).alias("x"))
+                       .select(F.col("x.v").alias("v"), "id", "n", "central", "share"))
+    scratch.drop(able, values)
+    return out
+
+
+def _may_be_alike(sa: Column, sb: Column, na: Column, nb: Column, k: int, percent: int) -> Column:
+    """By the sizes and the values that both sketches hold; exact where they hold both sets whole."""
+    both = F.size(F.array_intersect(sa, sb))
+    enough = F.when((na <= k) & (nb <= k), (na + nb).cast("double") * (percent / (100 + percent)) - 1e-6).otherwise(
+        _floor_of(k, (na + nb).cast("double") / (1 + percent / 100), percent))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (both >= enough)
+
+
+def _estimated(sa: Column, sb: Column, na: Column, nb: Column, k: int, percent: int) -> Column:
+    """By the shared ones among the k smallest values of the union."""
+    smallest = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
+    seen = F.size(F.array_intersect(smallest, F.array_intersect(sa, sb)))
+    return ((na <= k) & (nb <= k)) | (seen >= _floor_of(k, (na + nb).cast("double") / (1 + percent / 100), percent))
+
+
+def _likely(scratch: Scratch, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, n): pairs that pass both filters, with the larger size."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    two = (F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), k, percent)
+    return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_alike(*two)).where(_estimated(*two)).select("a", "b", F.greatest("na", "nb").alias("n")))
 
 
-def _verifier(percent: int, width: int):
+def _open_lists(scratch: Scratch, open_: DataFrame, deep: int, percent: int) -> DataFrame:
+    """(v, id, n, c, rank) for (id, c, set), by sketches of `deep` values, rarest first."""
+    values = scratch.save(open_.select("id", "c", F.size("set").cast("long").alias("n"), F.explode(F.slice("set", 1, deep)).alias("v")))
+    shared = values.join(scratch.save(_shared(values)), "v")
+    kept = shared.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    own = F.least("n", F.lit(deep)) - F.size("vs")
+    take = _unlike(F.col("n"), deep, percent) + 1 - own
+    ranked = kept.where(take > 0).select("id", "n", "c", own.alias("own"), F.posexplode(F.slice("vs", F.lit(1), take.cast("int"))).alias("at", "x"))
+    post = scratch.save(ranked.select(F.col("x.v").alias("v"), "id", "n", "c", (F.col("own") + F.col("at") + 1).alias("rank")))
+    scratch.drop(values)
+    return post
+
+
+def _sides(post: DataFrame) -> tuple[DataFrame, DataFrame]:
+    x, y = (post.select("v", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"), F.col("rank").alias(f"r{i}")) for i in "ab")
+    return x, y
+
+
+def _early(deep: int, percent: int) -> Column:
+    """Of two sets held whole the first shared value stands among the first
+    n - overlap + 1 of either."""
+    overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    sizes = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    return (F.col("ca") != F.col("cb")) & sizes & ((F.greatest("na", "nb") > deep) | ((F.col("ra") <= F.col("na") - overlap + 1) & (F.col("rb") <= F.col("nb") - overlap + 1)))
+
+
+def _with_leader(post: DataFrame, deep: int, percent: int, seed: int) -> DataFrame:
+    """(a, b) of different components: each member of a list with one of it."""
+    heads = post.groupBy("v").agg(F.min_by(F.struct("id", "n", "c", "rank"), F.xxhash64("id", "v", F.lit(seed))).alias("x"))
+    x = heads.select("v", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.c").alias("ca"), F.col("x.rank").alias("ra"))
+    return _sides(post)[1].join(x, "v").where(_early(deep, percent)).select("a", "b").distinct()
+
+
+def _across(post: DataFrame, deep: int, percent: int) -> DataFrame:
+    """(a, b) of different components: all pairs that a list may still link."""
+    x, y = _sides(post)
+    return x.join(y, "v").where(F.col("a") < F.col("b")).where(_early(deep, percent)).select("a", "b").distinct()
+
+
+def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, base = None, None
         for batch in batches:
             a_, b_ = [], []
-            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                s = shingle_set(t.as_py(), width)
+            for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = x.values.to_numpy()
                 if b is None:
                     leader, base = a, s
                     continue
@@ -162,22 +237,31 @@ def _verifier(percent: int, width: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_block: int = 256) -> DataFrame:
-    """Links of which the full sets agree.  A leader's text is sent once to
+def _setter(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))], names=["id", "set"])
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, per_block: int = 64) -> DataFrame:
+    """Links of which the full sets agree.  A leader's set is sent once to
     each block of at most about `per_block` partners and compared there as the
     partners stream by; no leader's partners have to meet in one task."""
     block = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("m") / per_block)))
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
     dealt = pairs.join(sizes, "a").select("a", "b", block.alias("s"))
-    left = dealt.select("a", "s").distinct().join(texts.select(F.col("id").alias("a"), "t"), "a").select("a", "s", F.lit(None).cast("long").alias("b"), "t")
-    right = dealt.join(texts.select(F.col("id").alias("b"), "t"), "b").select("a", "s", "b", "t")
+    left = dealt.select("a", "s").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "s", F.lit(None).cast("long").alias("b"), "set")
+    right = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "s", "b", "set")
     n = n_parts(pairs.sparkSession)
     rows = left.unionByName(right).repartition(n, "a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "t").mapInArrow(_verifier(percent, width), "a long, b long")
+    return rows.select("a", "b", "set").mapInArrow(_verifier(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = 80, k: int = 32) -> DataFrame:
+                    percent: int = 80, k: int = RETAINED, coarse: int = COARSE, deep: int = DEEP) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Null or blank texts have no shingles and are linked with nothing.  Repeated
@@ -187,29 +271,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sk = scratch.save(sketches(docs, id_col, text_col, width, k))
+    all_ = scratch.save(sketches(docs, id_col, text_col, width, k))
+    classes = scratch.save(all_.where("id is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")))
+    sk = scratch.save(all_.drop("sketch"))
+    scratch.drop(all_)
     known = sk.where("id is not null and n > 0")
-    classes = scratch.save(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")).groupBy("id", "n", "s1", "s2").agg(F.min("sketch").alias("sketch")))
+    lists = _postings(scratch, classes, k, coarse, percent)
+    asked = lists.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    lists = _postings(scratch, classes, k, percent)
-    firsts = lists.groupBy("v").agg(F.min("id").alias("a"))
-    star = lists.join(firsts, "v").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    links = _links(scratch, star, classes, texts, width, percent, k)
+    sets = scratch.save(texts.join(asked, "id").mapInArrow(_setter(width), "id long, set array<long>"))
+    heads = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("central", -F.col("id"))).alias("a")).where("m > 1"))
+    headed = scratch.save(lists.join(heads, "v"))
+    large = headed.where(F.col("m") > SMALL)
+    # of `share` common values half are in small lists, or more than half in large ones
+    few = headed.where(F.col("m") <= SMALL).select("v", "id", "share")
+    x, y = (few.select("v", F.col("id").alias(i), F.col("share").alias(f"k{i}")) for i in "ab")
+    pairs = x.join(y, "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("ka"), F.first("kb")).alias("share")).where("2 * c >= share").select("a", "b")
+    star = large.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    links = _links(scratch, _likely(scratch, pairs.unionByName(star), classes, k, percent), sets, percent, k)
     comp = scratch.save(connected_components(scratch, links))
-    # what is left: members of a list in different components, other than by its first
-    placed = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("a0")).where("lo < hi").select("v", "a0")
-    open_ = scratch.save(placed.join(mixed, "v").join(classes.select("id", "sketch"), "id"))
-    x = open_.select("v", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("c").alias("c1"), "a0", F.col("sketch").alias("sa"))
-    y = open_.select("v", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("sketch").alias("sb"))
-    # sketches are compared inside the join, so a list of texts that share a
-    # passage but little else yields no rows
-    both = F.size(F.array_intersect("sa", "sb"))
-    shared = F.when((F.col("n1") <= k) & (F.col("n2") <= k), both * 100 >= (F.col("n1") + F.col("n2") - both) * percent).otherwise(both >= required_overlap(k, percent))
-    near = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("a0")) & (F.col("c1") != F.col("c2")) & near & shared).select("a", "b").distinct()
-    more = _links(scratch, rest, classes, texts, width, percent, k)
-    comp = scratch.save(connected_components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    # what is left: members of large lists in different components
+    placed = large.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "share", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    left = placed.join(scratch.save(mixed), "v").groupBy("id").agg(F.first("c").alias("c"), F.count("*").alias("k"), F.first("share").alias("share")).where("2 * k > share")
+    open_ = scratch.save(left.select("id", "c").join(sets, "id"))
+    post = _open_lists(scratch, open_, deep, percent)
+    for step in (*range(ROUNDS), None):
+        pairs = scratch.save(_across(post, deep, percent) if step is None else _with_leader(post, deep, percent, step))
+        more = _links(scratch, _likely(scratch, pairs, classes, k, percent), sets, percent, k)
+        comp = scratch.save(connected_components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        if step is not None:
+            post = scratch.save(post.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "c").alias("c"), "rank"))
+    scratch.drop(open_, lists, headed, sets)
     member = known.join(classes.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"]).select("id", "n", "s1", "s2", "rep")
     alone = sk.where("id is null or n = 0").select("id", "n", "s1", "s2", F.col("id").alias("rep"))
     rows = member.unionByName(alone).join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -217,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("id") == cid, F.lit(True)).alias("kept"))
 
 
-def _links(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    likely = scratch.save(_estimated(pairs, classes, k, percent))
-    return scratch.save(_verified(likely, texts, width, percent))
+def _links(scratch: Scratch, likely: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Sketches that hold both sets whole have compared them already."""
+    far = likely.where(F.col("n") > k).select("a", "b")
+    return likely.where(F.col("n") <= k).select("a", "b").unionByName(scratch.save(_verified(far, sets, percent)))
