@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ats = lines.join(gone, ["doc", "pos"]).groupBy("doc").agg(F.collect_set("at").alias("cut"), F.collect_set("pos").alias("ps"))
     ats = scratch.save(ats.select("doc", "cut", F.size(F.filter("ps", lambda p: ~F.array_contains("ps", p - 1))).alias("runs")))
     kept = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("cut", i)), "\n")
-    return rows.join(ats, "doc", "left").select(
+    # one way at every size: an exchange of the texts by their documents
+    return rows.join(ats.hint("merge"), "doc", "left").select(
         F.col("doc.id").alias("doc_id"),
         F.size(F.filter(F.split(F.coalesce("t", F.lit("")), "\n"), lambda x: ~_blank(x))).cast("long").alias("n_lines"),
         F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_runs"),
