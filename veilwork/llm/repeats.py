@@ -97,7 +97,7 @@ def _scan(length: int, gram: int):
                     continue
                 end = hi + length
                 ch = [xxhash.xxh3_64_intdigest(b[s:e], x) for s, e, x in zip(lo.tolist(), end.tolist(), (q - lo).tolist(), strict=True)]
-                for c, v in zip(cols, (h, np.array(ch, np.uint64).view(np.int64), np.full(len(h), -1 if i is None else i), lo.astype(np.int32), (q - lo).astype(np.int16), (end - lo).astype(np.int32)), strict=True):
+                for c, v in zip(cols, (h, np.array(ch, np.uint64).view(np.int64), np.full(len(h), i), lo.astype(np.int32), (q - lo).astype(np.int16), (end - lo).astype(np.int32)), strict=True):
                     c.append(v)
                 if sum(map(len, cols[0])) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, OCC, strict=True)], schema=OCC)
@@ -241,27 +241,35 @@ def _hot_spans(scratch: Scratch, ctx: DataFrame, length: int, block: int = BLOCK
     return known.unionByName(wider)
 
 
+def row_key(id_col: str, text_col: str):
+    """Of id and text, either null or not: rows that share it are copies of one
+    row, but for a chance of 2**-64 a pair."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, spans array<struct<s,e>>): byte ranges to remove, possibly overlapping."""
+    """(id, spans array<struct<s,e>>): byte ranges to remove, possibly
+    overlapping, for each `row_key`."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
+    src = docs.select(row_key(id_col, text_col).alias("id"), text_bytes(text_col).alias("t"))
     occ = scratch.save(src.where(F.length("t") >= length).mapInArrow(_scan(length, gram), "kg long, ch long, id long, p0 int, lf short, ln int"))
-    again = occ.groupBy("kg").agg(F.count("*").alias("c")).where("c > 1").select("kg")
+    # counts are written before they are joined, so that Spark may split a frequent k-gram's rows
+    again = scratch.save(occ.groupBy("kg").agg(F.count("*").alias("c")).where("c > 1").select("kg"))
     rep = scratch.save(occ.join(again, "kg"))
-    scratch.drop(occ)
+    scratch.drop(occ, again)
     cls = scratch.save(rep.groupBy("kg", "ch").agg(F.count("*").alias("c"), F.min(F.struct("id", "p0", "lf", "ln")).alias("one")))
     whole = rep.join(cls.where("c > 1").select("kg", "ch"), ["kg", "ch"]).select("id", F.col("p0").alias("s"), (F.col("p0") + F.col("ln")).alias("e"))
-    kinds = cls.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1")
+    kinds = scratch.save(cls.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1"))
     # the bytes of the different domains below one k-gram
     want = cls.join(kinds, "kg").select("one.id", F.struct("kg", (F.col("c") == 1).alias("uniq"), "one.p0", F.col("one.lf").cast("int").alias("lf"), "one.ln", "ch").alias("w"))
     asked = want.groupBy("id").agg(F.collect_list("w").alias("want"))
-    ctx = scratch.save(src.withColumn("id", F.coalesce("id", F.lit(-1))).join(asked, "id").select("id", "t", "want").mapInArrow(_cut, "kg long, uniq boolean, id long, p0 int, lf int, ctx binary"))
+    ctx = scratch.save(src.join(asked, "id").select("id", "t", "want").mapInArrow(_cut, "kg long, uniq boolean, id long, p0 int, lf int, ctx binary"))
     ctx = ctx.join(kinds.where(F.col("m") > hot).select("kg", F.lit(True).alias("hot")), "kg", "left")
     few = ctx.where("hot is null").select("kg", "uniq", "id", "p0", "lf", "ctx").repartition(n_parts(spark), "kg").sortWithinPartitions("kg")
     edges = few.mapInArrow(_edges(length, gram), "id long, s int, e int")
     many = _hot_spans(scratch, scratch.save(ctx.where("hot").select("kg", "uniq", "id", "p0", "lf", "ctx")), length)
-    spans = scratch.save(whole.unionByName(edges).unionByName(many).where("id is not null and id <> -1"))
+    spans = scratch.save(whole.unionByName(edges).unionByName(many))
     scratch.drop(rep)
     return spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -306,17 +314,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of their bytes; kept_sha256 is of the remaining bytes.  With `carry` the
     other columns come along in a struct `row`, whatever their names.
 
-    A null text counts as empty.  Matches never cross documents.  A repeated row
-    is one more document with that text, so both lose what they share.  Rows
-    with one doc_id but different texts get each other's spans, clipped to
-    their lengths; rows with a null doc_id are compared but stay whole.  Texts
+    A null text counts as empty.  Matches never cross documents.  Each row is a
+    document: a repeated row is one more with that text, so both lose what they
+    share, and so do rows of one doc_id, null or not, with different texts.  Texts
     below `length` bytes and empty tables need no case of their own.  Other
     columns are not read.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram, hot)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"),
+    src = docs.select(row_key(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"),
                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     if carry:
         kind += f", row {src.schema['row'].dataType.simpleString()}"
-    return src.join(spans, "id", "left").select("id", "t", "spans", *(["row"] if carry else [])).mapInArrow(_cleaner, kind)
+    return src.join(spans, "id", "left").select("doc_id", "t", "spans", *(["row"] if carry else [])).mapInArrow(_cleaner, kind)
