@@ -101,14 +101,15 @@ def test_repeats(spark, corpus, hot):
 
 @pytest.mark.parametrize("hot", [32, 1])
 def test_repeats_of_odd_ids(spark, hot):
-    """A row without an id is compared, and one id's texts do not mix."""
+    """Rows without an id, of id -1 and of one id with two texts are documents like others."""
     rng = np.random.default_rng(5)
     words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
     passage, own = words(60), words(60)
-    rows = [(None, words(40) + passage + words(40)), (5, words(50) + passage + words(30)), (6, own), (6, words(70))]
-    got = without_repeats(frame(spark, rows), hot=hot).collect()
-    assert {r.n_removed for r in got if r.doc_id == 5} == {len(passage)}
-    assert {r.n_removed for r in got if r.doc_id != 5} == {0}
+    rows = [(None, words(40) + passage + words(40)), (5, words(50) + passage + words(30)), (-1, words(5) + passage), (6, own), (6, words(70)), (7, words(9)), (None, None)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in without_repeats(frame(spark, rows), hot=hot).collect()}
+    assert got == {(i, len(t or "")): len(passage) if passage in (t or "") else 0 for i, t in rows}
+    twice = without_repeats(frame(spark, [(6, own)] * 2 + [(None, passage)] * 2), hot=hot).collect()
+    assert len(twice) == 4 and all(r.n_removed == r.n_bytes for r in twice)
 
 
 def test_deep_shallow_sort():
@@ -161,6 +162,18 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     assert got == [(-1, 3), (1, 0), (2, 1), (3, 2), (4, 5), (7, 4)]
 
 
+def test_toxicity_stage_and_clashing_names(spark, tmp_path):
+    """A column of the score's name comes through; empty and null texts stay."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, [(1, "ba"), (2, None), (None, ""), (1, "ba")]).withColumn("toxicity_score", F.lit(9)).withColumn("row", F.lit("r")).withColumn("kept", F.lit(1))
+    out = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.count() == 4 and {r.toxicity_score for r in out.collect()} == {9}
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.suffix_array_dedup):
+        assert stage(spark, docs, "").columns == docs.columns
+
+
 def test_shards(spark, corpus):
     got = shard_documents(frame(spark, corpus), shards=5).collect()
     assert len(got) == len(corpus) and {r.shard for r in got} <= set(range(5))

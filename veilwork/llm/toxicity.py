@@ -335,7 +335,7 @@ class Scorer:
 _scorers: dict[bytes, Scorer] = {}
 
 
-def _scoring(blob: bytes, text_col: str):
+def _scoring(blob: bytes, text_col: str, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
@@ -347,17 +347,17 @@ def _scoring(blob: bytes, text_col: str):
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 s = scorer.scores([(t or "").encode() for t in part.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "toxicity_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, out_col])
     return run
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns and toxicity_score, the probability that a text is toxic."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity_score") -> DataFrame:
+    """All columns and out_col, the probability that a text is toxic."""
     import pickle
 
     ship(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scoring(pickle.dumps(model), text_col), f"{kinds}, toxicity_score double")
+    return docs.mapInArrow(_scoring(pickle.dumps(model), text_col, out_col), f"{kinds}, `{out_col}` double")
 
 
 def remainder(col: str = "doc_id"):
