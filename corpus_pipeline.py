@@ -24,9 +24,11 @@ def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.  Null and empty texts stay, and so do
+    repeated rows and rows without an id that are clean; further columns may have any name."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where("toxicity_score < 0.5").drop("toxicity_score")
+    mark = "toxicity_score" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    return scored(docs, model, out_col=mark).where(F.col(mark) < 0.5).drop(mark)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
