@@ -132,6 +132,24 @@ def test_line_runs(spark):
     assert three == {1: 0, 2: 3, 3: 0}
 
 
+@pytest.mark.parametrize("min_lines", [2, 3, 5])
+def test_line_runs_by_brute_force(spark, min_lines):
+    rng = random.Random(min_lines)
+    block = [rng.choice("abcdefgh") * 2 for _ in range(40)]
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 25))]) for i in range(30)]
+    rows += [(100 + i, [*rows[i][1][:5], *block[i:i + rng.randint(3, 30)], "z"]) for i in range(8)] + [(200, block), (201, block)]
+    seen, want = set(), {}
+    for i, lines in sorted(rows):
+        gone = set()
+        for p in range(len(lines) - min_lines + 1):
+            k = tuple(lines[p:p + min_lines])
+            gone |= set(range(p, p + min_lines)) if k in seen else set()
+            seen.add(k)
+        want[i] = (len(lines), len(gone), sum(p - 1 not in gone for p in gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    got = dedup_lines(frame(spark, [(i, "\n".join(x)) for i, x in rows]), min_lines=min_lines).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in got} == want
+
+
 def test_long_single_lines(spark):
     """Between different neighbours, and where a document is that one line."""
     rng = random.Random(9)

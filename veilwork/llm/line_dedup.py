@@ -1,17 +1,17 @@
-"""Deletion of repeated runs of lines.
-
-The corpus is a sequence of line ids.  Places are grouped by the lines that
-start there, up to `min_lines` deep, and a group's name is its first place;
-depths beyond two are reached by doubling, two overlapping names for those
-between powers of two.  No suffix array is sorted and no longest-common-prefix
-intervals are built: a group at depth `min_lines` holds just the places that a
-suffix array has in one interval of that common prefix, and the deletions need
-no greater depth, since a run of more lines is the union of its windows of
-`min_lines`.  With the threshold of two there is one grouping and no doubling.
-The first place of each group stays, the lines below every later one go.
-
-Places that are alone in their group leave after each round, so only lines
-that repeat are shuffled again.
+"""Deletion of repeated runs of lines by a suffix array over line ids.
+
+The corpus is one sequence of line ids with a break after each document.  Its
+suffixes are put in order by distributed prefix doubling: a place's name at a
+depth is the first place whose next lines, to that depth, are the same; the
+names at twice the depth follow from two names, one that far ahead.  Places
+that share a name at a depth are those of one longest-common-prefix interval,
+and intervals of greater depths lie inside it.  Doubling goes on until no name
+is shared, so the deepest interval of each place is known; a place that is not
+the first of it begins a repeated run of that depth at least.  Overlapping and
+touching runs of a document join to maximal ones, which are deleted.
+
+Places that are alone in their interval leave after each round, so only lines
+that still repeat are shuffled again.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 
+SPACES = r"[\t\x0B\f\r ]+"
+
+
 def _blank(line):
     return F.length(F.btrim(line, F.lit(" \t\r"))) == 0
 
 
 def _words_over(line: str, n: int):
     """Whether a line has more than n words; a word and its space are two characters at least."""
-    return (F.length(line) > 2 * n) & (F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) > n)
+    return (F.length(line) > 2 * n) & (F.size(F.filter(F.split(line, SPACES), lambda w: w != "")) > n)
 
 
 def _named(scratch: Scratch, places: DataFrame, key: list[str]) -> DataFrame:
@@ -50,12 +53,29 @@ def _ahead(names: DataFrame, step: int) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, scratch: Scratch, min_lines: int) -> DataFrame:
-    """(doc, pos): places where a run of `min_lines` lines starts that occurs earlier."""
+    """(doc, pos, size): places where a run of `min_lines` lines or more starts
+    that occurs earlier, with the depth of their deepest interval."""
     names, reach = _named(scratch, lines, ["l1", "l2"]), 1
-    while reach < min_lines:
-        step = min(reach, min_lines - reach)
+    out, again = None, F.struct("doc", "pos") != F.struct(F.col("d").alias("doc"), F.col("p").alias("pos"))
+    while True:
+        if reach >= min_lines:
+            found = names.where(again).select("doc", "pos", F.lit(reach).alias("size"))
+            out = found if out is None else out.unionByName(found)
+            if min_lines == 1 or names.isEmpty():
+                break
+        step = reach if reach >= min_lines else min(reach, min_lines - reach)
         names, reach = _named(scratch, _ahead(names, step), ["d", "p", "d2", "p2"]), reach + step
-    return names.where((F.col("doc") != F.col("d")) | (F.col("pos") != F.col("p"))).select("doc", "pos")
+    return out.groupBy("doc", "pos").agg(F.max("size").alias("size"))
+
+
+def maximal_runs(runs: DataFrame) -> DataFrame:
+    """(doc, s, e): the runs of a document joined where they overlap or touch; e is behind the last line."""
+    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("pos") + F.col("size")
+    opens = F.coalesce(F.col("pos") > F.max(end).over(before), F.lit(True))
+    return runs.groupBy("doc", "pos").agg(F.max("size").alias("size")).select("doc", "pos", "size", opens.cast("int").alias("opens")).select(
+        "doc", "pos", end.alias("end"), F.sum("opens").over(upto).alias("nth")).groupBy("doc", "nth").agg(F.min("pos").alias("s"), F.max("end").alias("e")).select("doc", "s", "e")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: bool = False, long_words: int | None = None) -> DataFrame:
@@ -81,14 +101,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                                                        *([_words_over("x.line", long_words).alias("long")] if long_words is not None else []))
     lines = scratch.save(each)
     places = lines.select("doc", "pos", "l1", "l2")
-    later = repeated_runs(places, scratch, min_lines)
-    gone = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
+    runs = repeated_runs(places, scratch, min_lines)
     if long_words is not None:
-        gone = gone.unionByName(repeated_runs(lines.where("long").select(places.columns), scratch, 1))
-    gone = gone.distinct()
+        runs = runs.unionByName(repeated_runs(lines.where("long").select(places.columns), scratch, 1))
+    gone = scratch.save(maximal_runs(runs).select("doc", F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), F.col("s")))
     # only documents that lose lines are put together anew
-    ats = lines.join(gone, ["doc", "pos"]).groupBy("doc").agg(F.collect_set("at").alias("cut"), F.collect_set("pos").alias("ps"))
-    ats = scratch.save(ats.select("doc", "cut", F.size(F.filter("ps", lambda p: ~F.array_contains("ps", p - 1))).alias("runs")))
+    ats = lines.join(gone, ["doc", "pos"]).groupBy("doc").agg(F.collect_set("at").alias("cut"), F.count(F.when(F.col("pos") == F.col("s"), 1)).alias("runs"))
+    ats = scratch.save(ats)
     kept = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("cut", i)), "\n")
     # one way at every size: an exchange of the texts by their documents
     return rows.join(ats.hint("merge"), "doc", "left").select(

@@ -41,7 +41,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), long_words=50)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 

@@ -17,7 +17,7 @@ WITH t AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES["op6_line_dedup"] = """
+ORACLES["op6_line_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents
 ), full_lines AS (
@@ -27,8 +27,11 @@ WITH l AS (
   SELECT doc_id, pos, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM full_lines
 ), later AS (
   SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM pairs WHERE k IS NOT NULL) WHERE nth > 1
+), long_lines AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM full_lines
+  WHERE length(line) > 100 AND len(list_filter(string_split_regex(line, '[\t\x0B\f\r ]+'), lambda w: w <> '')) > 50
 ), gone AS (
-  SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later
+  SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later UNION SELECT doc_id, pos FROM long_lines WHERE nth > 1
 ), runs AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS n_runs
   FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
