@@ -17,21 +17,30 @@ from .patterns import Pattern
 
 
 def matches(text: Column, regex: str) -> Column:
-    """array<struct<start,end,text>> of all leftmost matches."""
-    r = F.lit("(?U)" + regex)
-    found = F.regexp_extract_all(text, r, F.lit(0))
-    gaps = F.transform(F.split(text, "(?U)" + regex, -1), F.length)
+    """array<struct<start,end,text>> of all leftmost matches.
+
+    The text is searched once and split once; the walk over the pairs of a match
+    and the gap before it only adds lengths.
+    """
+    found = F.regexp_extract_all(text, F.lit("(?U)" + regex), F.lit(0))
+    pairs = F.zip_with(found, F.split(text, "(?U)" + regex, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("size")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)), zero,
-        lambda acc, i: F.struct(
-            (acc["at"] + F.element_at(gaps, i) + F.length(F.element_at(found, i))).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + F.element_at(gaps, i)).alias("start"),
-                (acc["at"] + F.element_at(gaps, i) + F.length(F.element_at(found, i))).alias("end"),
-                F.element_at(found, i).alias("text"))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(zero["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(
+            (start + x["size"]).alias("at"),
+            F.array_append(acc["out"], F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["m"].alias("text"))).alias("out")))
+
+    return F.coalesce(F.aggregate(pairs, zero, step, lambda acc: acc["out"]), zero["out"])
+
+
+def lines_of(text: Column) -> Column:
+    """array<struct<line_no,line,at>>: the lines of a text and where each starts."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<line_no:int,line:string,at:int>>").alias("out"))
+    return F.aggregate(F.split(text, "\n"), zero, lambda acc, x: F.struct(
+        (acc["at"] + F.length(x) + 1).alias("at"), (acc["n"] + 1).alias("n"),
+        F.array_append(acc["out"], F.struct(acc["n"].alias("line_no"), x.alias("line"), acc["at"].alias("at"))).alias("out")), lambda acc: acc["out"])
 
 
 def detections(text: Column, pattern: Pattern) -> Column:
@@ -45,7 +54,7 @@ def detections(text: Column, pattern: Pattern) -> Column:
     found = matches(text, pattern.regex)
     if pattern.stop:
         found = F.filter(found, lambda m: ~m["text"].isin(*pattern.stop))
-    if pattern.entity_type == "PHONE" and pattern.detector != "regex":
+    if pattern.detector == "regex.phone_fallback":
         found = F.filter(found, lambda m: F.length(F.regexp_replace(m["text"], "[^0-9]", "")) >= 8)
     return F.transform(found, row)
 

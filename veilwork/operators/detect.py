@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.spans import matches
+from ..functions.spans import lines_of, matches
 
 #: Label aliases, entity type and length bounds of the value (fixed values).
 LABEL_RULES = (
@@ -46,10 +46,7 @@ def refined(kind: Column, label: Column, value: Column, most_tokens: int = 3) ->
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = F.split(text_col, "\n")
-    each = docs.select(id_col, F.posexplode(lines).alias("line_no", "line"), lines.alias("all"))
-    start = F.aggregate(F.slice("all", F.lit(1), F.col("line_no")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    return each.select(id_col, "line_no", "line", start.alias("at"))
+    return docs.select(id_col, F.explode(lines_of(F.col(text_col))).alias("x")).select(id_col, "x.*")
 
 
 INLINE = r"^\s*([^:\-\n]{2,61}?)\s*[:-]\s*(\S.*?)[\s.,;]*$"

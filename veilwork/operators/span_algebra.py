@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.spans import lines_of
+
 #: Entity types from most to least specific (fixed order for ties).
 PRIORITY = ("IBAN", "LEI", "EMAIL", "URL", "SWIFT_BIC", "NATIONAL_ID", "TAX_ID", "PASSPORT", "PHONE", "POSTCODE", "SORT_CODE", "COMPANY_REG_NO", "BANK_ACCOUNT", "ORGANISATION", "PERSON", "ADDRESS", "GENERIC_DATE")
 
@@ -65,10 +67,9 @@ def enclosing_block(spans: DataFrame, blocks: DataFrame, id_col: str = "doc_id")
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, block_id, start, end, text): one block per line."""
-    lines = F.split(text_col, "\n")
-    each = docs.select(id_col, F.posexplode(lines).alias("n", "text"), lines.alias("all"))
-    start = F.aggregate(F.slice("all", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    return each.select(id_col, F.concat(F.lit("line:"), F.col("n").cast("string")).alias("block_id"), start.alias("start"), (start + F.length("text")).alias("end"), "text")
+    end = F.col("x.at") + F.length("x.line")
+    return docs.select(id_col, F.explode(lines_of(F.col(text_col))).alias("x")).select(
+        id_col, F.concat(F.lit("line:"), F.col("x.line_no").cast("string")).alias("block_id"), F.col("x.at").alias("start"), end.alias("end"), F.col("x.line").alias("text"))
 
 
 def chunks(pages: DataFrame, max_chars: int = 50_000, overlap: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,13 +88,16 @@ def apply_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_
     start on; one that overlaps the edit applied before it is skipped."""
     e = edits.where("start is not null and replacement is not null").groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("start")).alias("ns"), F.col("end"), F.col("replacement")))).alias("es"))
-    zero = F.struct(F.col(text_col).alias("t"), F.lit(2147483647).alias("last"), F.lit(0).alias("n"))
+    t = F.col(text_col)
+    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(2147483647).alias("last"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        s = -x["ns"]
-        done = F.struct(F.concat(F.substring(a["t"], F.lit(1), s), x["replacement"], F.substring(a["t"], x["end"] + 1, F.length(a["t"]))).alias("t"), s.alias("last"), (a["n"] + 1).alias("n"))
+        behind = F.substring(t, x["end"] + 1, a["last"] - x["end"])
+        done = F.struct(F.array_append(F.array_append(a["parts"], behind), x["replacement"]).alias("parts"), (-x["ns"]).alias("last"), (a["n"] + 1).alias("n"))
         return F.when(x["end"] > a["last"], a).otherwise(done)
 
+    # pieces from the last on, put together once
+    whole = lambda a: F.struct(F.concat(F.substring(t, F.lit(1), a["last"]), F.array_join(F.reverse(a["parts"]), "")).alias("t"), a["n"].alias("n"))
     j = docs.join(e, id_col, "left")
-    out = F.when(F.col("es").isNull(), zero).otherwise(F.aggregate("es", zero, step))
+    out = F.when(F.col("es").isNull(), F.struct(t.alias("t"), F.lit(0).alias("n"))).otherwise(F.aggregate("es", zero, step, whole))
     return j.select(id_col, out.alias("o")).select(id_col, F.col("o.t").alias("text"), F.col("o.n").alias("n_applied"))
