@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = _postings(scratch, classes, k, coarse, percent)
     asked = lists.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    sets = scratch.save(texts.join(asked, "id").mapInArrow(_setter(width), "id long, set array<long>"))
+    # one way at every size: an exchange of the texts
+    sets = scratch.save(texts.join(asked.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
     heads = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("central", -F.col("id"))).alias("a")).where("m > 1"))
     headed = scratch.save(lists.join(heads, "v"))
     large = headed.where(F.col("m") > SMALL)
@@ -298,7 +299,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     post = _open_lists(scratch, open_, deep, percent)
     for step in (*range(ROUNDS), None):
         pairs = scratch.save(_across(post, deep, percent) if step is None else _with_leader(post, deep, percent, step))
-        more = _links(scratch, _likely(scratch, pairs, classes, k, percent), sets, percent, k)
+        # deep sketches hold these sets whole or nearly so: only the full sets tell more
+        more = scratch.save(_verified(pairs, sets, percent))
         comp = scratch.save(connected_components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         if step is not None:
             post = scratch.save(post.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "c").alias("c"), "rank"))
