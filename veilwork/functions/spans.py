@@ -16,14 +16,16 @@ from .checks import iban_ok, lei_ok
 from .patterns import Pattern
 
 
-def matches(text: Column, regex: str) -> Column:
-    """array<struct<start,end,text>> of all leftmost matches.
+def matches(text: Column, regex: str | Column) -> Column:
+    """array<struct<start,end,text>> of all leftmost matches.  The pattern may
+    be a column, so each row can have its own.
 
     The text is searched once and split once; the walk over the pairs of a match
     and the gap before it only adds lengths.
     """
-    found = F.regexp_extract_all(text, F.lit("(?U)" + regex), F.lit(0))
-    pairs = F.zip_with(found, F.split(text, "(?U)" + regex, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("size")))
+    pattern = F.lit("(?U)" + regex) if isinstance(regex, str) else F.concat(F.lit("(?U)"), regex)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("size")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -12,7 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal suffixes and their canonical spelling (fixed values).
-SUFFIX_A = {"limited": "ltd", "ltd": "ltd", "plc": "plc", "llp": "llp", "llc": "llc", "inc": "inc", "incorporated": "inc", "gmbh": "gmbh", "ag": "ag", "sa": "sa", "nv": "nv", "bv": "bv"}
+SUFFIX_A = {
+    "ltd": "limited", "limited": "limited", "co": "company", "company": "company", "corp": "corporation", "corporation": "corporation",
+    "inc": "incorporated", "incorporated": "incorporated", "plc": "plc", "llp": "llp", "lp": "lp", "llc": "llc",
+    "gmbh": "gmbh", "ag": "ag", "sarl": "sarl", "sa": "sa", "nv": "nv", "bv": "bv",
+}
 SUFFIX_B = SUFFIX_A | {"bank": "bank", "group": "group", "holdings": "holdings"}
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "dame", "lord", "lady")
 
@@ -65,9 +69,10 @@ def acronym(c: Column) -> Column:
 
 
 def initial_form(c: Column) -> Column:
-    """First initial and last name."""
+    """Initials of all words but the last, which stays whole."""
     t = tokens(F.lower(c))
-    return F.when(F.size(t) >= 2, F.concat(F.substring(F.element_at(t, 1), 1, 1), F.lit(" "), F.element_at(t, -1)))
+    heads = F.transform(F.slice(t, F.lit(1), F.greatest(F.lit(0), F.size(t) - 1)), lambda w: F.substring(w, 1, 1))
+    return F.when(F.size(t) >= 2, F.array_join(F.array_append(heads, F.try_element_at(t, F.lit(-1))), " "))
 
 
 def first_name(c: Column) -> Column:
@@ -101,9 +106,18 @@ def like_case(value: Column, original: Column) -> Column:
     return F.when(letter & (original == F.upper(original)), F.upper(value)).when(letter & (original == F.lower(original)), F.lower(value)).otherwise(value)
 
 
-def is_generic(c: Column) -> Column:
-    """Phrases that stand for a party without naming it (fixed values)."""
-    return F.lower(F.trim(c)).isin("the client", "the customer", "the company", "the bank", "the director", "the firm", "the applicant")
+#: Phrases that stand for a party without naming it (fixed values).
+GENERIC_ORG = ("the client", "the company", "the firm", "the entity", "the corporation", "the borrower", "the issuer", "client", "company")
+GENERIC_PERSON = ("the director", "the signatory", "the customer", "the contact", "the applicant", "the beneficiary")
+
+
+def is_generic(c: Column, kind: Column | None = None) -> Column:
+    """Whether a phrase of the kind only stands for a party; of either kind where none is given."""
+    phrase = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
+    if kind is None:
+        return phrase.isin(*GENERIC_ORG, *GENERIC_PERSON)
+    org = kind.isin("ORGANISATION", "ORG") & phrase.isin(*GENERIC_ORG)
+    return org | ((kind == "PERSON") & phrase.isin(*GENERIC_PERSON))
 
 
 def keyed_hash(key: bytes, scope: str, value: Column) -> Column:
@@ -156,8 +170,9 @@ def person_score(a: Column, b: Column) -> Column:
     x, y = tokens(F.lower(a)), tokens(F.lower(b))
     same = F.coalesce(initial_form(a) == initial_form(b), F.lit(False))
     subset = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
-    alone = (F.size(x) == 1) | (F.size(y) == 1)
-    return F.when(alone & (F.try_element_at(x, F.lit(-1)) == F.try_element_at(y, F.lit(-1))), 80).when(same, 95).when(subset & ~alone, 90).otherwise(0)
+    filled = (F.size(x) > 0) & (F.size(y) > 0)
+    alone = (F.size(x) == 1) & (F.try_element_at(x, F.lit(1)) == F.try_element_at(y, F.lit(-1)))
+    return F.when(~filled, 0).when(alone, 80).when(same, 95).when(subset, 90).otherwise(0)
 
 
 def unicode_form(c: Column, form: str = "NFKC") -> Column:

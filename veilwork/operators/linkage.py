@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.spans import matches
+from ..runtime import ship
 
 MENTION = ["doc_id", "start", "end", "text", "entity_type", "confidence", "detector"]
 
 
 def mentions(detections: DataFrame, variant: str = "A") -> DataFrame:
     """Detections with their key, and whether they only stand for a party."""
-    return detections.withColumn("key", T.normalise(F.col("text"), F.col("entity_type"), variant)).withColumn("is_alias", T.is_generic(F.col("text")))
+    return detections.withColumn("key", T.normalise(F.col("text"), F.col("entity_type"), variant)).withColumn("is_alias", T.is_generic(F.col("text"), F.col("entity_type")))
 
 
-def exact_clusters(m: DataFrame) -> DataFrame:
-    """One row per (document, type, key): representative, mentions, span of offsets."""
-    best = F.struct("confidence", F.length("text"), -F.col("start"))
-    return m.where("not is_alias and key <> ''").groupBy("doc_id", "entity_type", "key").agg(
+def exact_clusters(m: DataFrame, aliases: bool = False) -> DataFrame:
+    """One row per (document, type, key): representative, mentions, span of
+    offsets.  With `aliases` the mentions that only stand for a party count too
+    (they represent it where nothing else does) and all surfaces come as an array."""
+    best = F.struct((~F.col("is_alias")).alias("named"), F.col("confidence"), F.length("text").alias("n"), -F.col("start"))
+    surfaces = F.array_sort(F.collect_set("text"))
+    return m.where("key <> ''" if aliases else "not is_alias and key <> ''").groupBy("doc_id", "entity_type", "key").agg(
         F.max_by("text", best).alias("representative"), F.count("*").alias("n_mentions"), F.min("start").alias("first_start"), F.max("confidence").alias("confidence"),
-        F.array_join(F.array_sort(F.collect_set("text")), "|").alias("surfaces"))
+        F.array_join(surfaces, "|").alias("surfaces"), *([surfaces.alias("aliases")] if aliases else []))
 
 
-def entities(m: DataFrame) -> DataFrame:
+def entities(m: DataFrame, aliases: bool = False) -> DataFrame:
     """Clusters numbered within document and type by their first mention."""
     n = F.row_number().over(Window.partitionBy("doc_id", "entity_type").orderBy("first_start", "key"))
-    return exact_clusters(m).withColumn("number", n).withColumn("entity_id", T.entity_id(F.col("entity_type"), F.col("number"), F.col("key")))
+    return exact_clusters(m, aliases).withColumn("number", n).withColumn("entity_id", T.entity_id(F.col("entity_type"), F.col("number"), F.col("key")))
 
 
 def generic_aliases(m: DataFrame, ents: DataFrame, kind: str = "ORGANISATION") -> DataFrame:
@@ -64,11 +69,39 @@ def abbreviation_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return e.where(T.is_abbreviation(F.col("abbreviation"), F.col("name")))
 
 
+def _domain_links(ents: DataFrame, kind: str, domain, name: str) -> DataFrame:
+    site = ents.where(F.col("entity_type") == kind).select("doc_id", F.col("key").alias(name), domain.alias("domain"))
+    org = ents.where("entity_type = 'ORGANISATION'").select("doc_id", F.col("key").alias("org"), F.explode(F.split(T.org_stem(F.col("key")), " ")).alias("word")).where(F.length("word") > 2)
+    # the last label of a domain is no part of a name
+    held = F.regexp_replace("domain", r"\.[a-z]{2,}$", "").contains(F.col("word"))
+    return site.join(org, "doc_id").where(held).select("doc_id", name, "org").distinct()
+
+
 def email_owner_links(ents: DataFrame) -> DataFrame:
-    """E-mail addresses whose domain holds a word of an organisation's name."""
-    mail = ents.where("entity_type = 'EMAIL'").select("doc_id", F.col("key").alias("email"), T.email_domain(F.col("key")).alias("domain"))
-    org = ents.where("entity_type = 'ORGANISATION'").select("doc_id", F.col("key").alias("org"), F.explode(F.split("key", " ")).alias("word")).where(F.length("word") > 2)
-    return mail.join(org, "doc_id").where(F.col("domain").contains(F.col("word"))).select("doc_id", "email", "org").distinct()
+    """E-mail addresses whose domain holds a word of an organisation's stem."""
+    return _domain_links(ents, "EMAIL", T.email_domain(F.col("key")), "email")
+
+
+def url_owner_links(ents: DataFrame) -> DataFrame:
+    """URLs whose domain holds a word of an organisation's stem."""
+    return _domain_links(ents, "URL", T.url_domain(F.col("key")), "url")
+
+
+def email_person_links(ents: DataFrame) -> DataFrame:
+    """E-mail addresses whose local part holds a person's last name."""
+    mail = ents.where("entity_type = 'EMAIL'").select("doc_id", F.col("key").alias("email"), F.translate(T.email_local(F.col("key")), "._-", "   ").alias("local"))
+    person = ents.where("entity_type = 'PERSON'").select("doc_id", F.col("key").alias("person"), T.last_name(F.col("key")).alias("last"))
+    return mail.join(person, "doc_id").where((F.length("last") > 0) & F.col("local").contains(F.col("last"))).select("doc_id", "email", "person").distinct()
+
+
+def related(ents: DataFrame) -> DataFrame:
+    """Per entity the sorted ids of the entities it is linked with: e-mail
+    addresses and the persons whose last name they hold, both ways."""
+    ids = ents.select("doc_id", "entity_type", "key", "entity_id")
+    of = lambda kind, name, as_: ids.where(F.col("entity_type") == kind).select("doc_id", F.col("key").alias(name), F.col("entity_id").alias(as_))
+    pairs = email_person_links(ents).join(of("EMAIL", "email", "e"), ["doc_id", "email"]).join(of("PERSON", "person", "p"), ["doc_id", "person"])
+    both = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("e").alias("entity_id"), F.col("p").alias("other")), F.struct(F.col("p").alias("entity_id"), F.col("e").alias("other")))).alias("x"))
+    return both.groupBy("doc_id", "x.entity_id").agg(F.array_join(F.array_sort(F.collect_set("x.other")), "|").alias("related"))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -100,52 +133,150 @@ def substring_score(a: str, b: str) -> float:
 SCORERS = {"token_set": token_set_ratio, "substring": substring_score}
 
 
-def fuzzy_clusters(m: DataFrame, threshold: int = 88, scorer: str = "token_set", kinds=("PERSON", "ORGANISATION", "ADDRESS")) -> DataFrame:
-    """Clusters by first fit in the order of offsets.  A mention joins the best
-    cluster at or above the threshold, unless another one also reaches it: then
-    it is ambiguous and opens its own.  A group is one document's mentions of
-    one type, which the document bounds."""
-    score = SCORERS[scorer]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "detector"], ascending=[True, False, True])
-        clusters: list[list[str]] = []
-        number, ambiguous = [], []
-        for key in pdf["key"]:
-            got = sorted(((max(score(key, k) for k in c), -i) for i, c in enumerate(clusters)), reverse=True)
-            hits = [(s, -i) for s, i in got if s >= threshold]
-            exact = next((i for i, c in enumerate(clusters) if key in c), None)
-            if exact is None and len(hits) == 1:
-                exact = hits[0][1]
-            ambiguous.append(exact is None and len(hits) > 1)
-            if exact is None:
-                exact = len(clusters)
-                clusters.append([])
-            if key not in clusters[exact]:
-                clusters[exact].append(key)
-            number.append(exact + 1)
-        return pdf.assign(cluster=number, ambiguous=ambiguous)[["doc_id", "entity_type", "start", "text", "cluster", "ambiguous"]]
-
-    src = m.where(F.col("entity_type").isin(*kinds) & (F.col("key") != "")).select(*MENTION, "key")
-    return src.groupBy("doc_id", "entity_type").applyInPandas(run, "doc_id long, entity_type string, start int, text string, cluster int, ambiguous boolean")
-
-
-def sweep(docs: DataFrame, ents: DataFrame, known: DataFrame, kinds=("PERSON", "ORGANISATION", "ADDRESS")) -> DataFrame:
-    """Further occurrences, in any case, of surfaces of four letters or more
-    and of organisations' stems, that are not already spans; longest surface first (.85)."""
-    import re
+def _stem(key: str) -> str:
+    words = key.split()
+    while words and words[-1] in LEGAL:
+        words.pop()
+    return " ".join(words)
+
+
+def _org_rule(a: str, b: str) -> int:
+    """100 for one stem, 92 for a stem inside the other, 90 for the known name's initials."""
+    x, y = _stem(a), _stem(b)
+    if not x or not y:
+        return 0
+    if x == y:
+        return 100
+    if x in y or y in x:
+        return 92
+    initials = "".join(w[0] for w in b.split() if w not in LEGAL).upper()
+    return 90 if len(initials) >= 3 and a.upper() == initials else 0
+
+
+def _person_rule(a: str, b: str) -> int:
+    """80 for the bare last name, 95 for one form with initials, 90 for a subset of the words."""
+    x, y = a.split(), b.split()
+    if not x or not y:
+        return 0
+    if x == y[-1:]:
+        return 80
+    if [w[0] for w in x[:-1]] + x[-1:] == [w[0] for w in y[:-1]] + y[-1:]:
+        return 95
+    return 90 if set(x) <= set(y) or set(y) <= set(x) else 0
+
+
+LEGAL = frozenset(T.SUFFIX_A.values())
+RULES = {"ORGANISATION": _org_rule, "PERSON": _person_rule}
+FUZZY = ("PERSON", "ORGANISATION", "ADDRESS")
+
+
+def match_score(kind: str, a: str, b: str, scorer: str = "token_set") -> int:
+    """How well a new key fits a known one, 0 to 100."""
+    rule = RULES[kind](a, b) if kind in RULES else 0
+    return rule if rule == 100 else max(rule, int(SCORERS[scorer](a, b)))
+
+
+def first_fit(kind: str, keys: list[str], threshold: int = 88, scorer: str = "token_set") -> list[tuple[int, bool]]:
+    """(cluster, ambiguous) of each of a document's different keys, in the order
+    of their first mentions.  A key joins the one cluster that reaches the
+    threshold; where several do it is ambiguous and opens its own."""
+    clusters: list[list[str]] = []
+    out = []
+    for key in keys:
+        fits = [i for i, c in enumerate(clusters) if any(match_score(kind, key, k, scorer) >= threshold for k in c)]
+        if len(fits) != 1:
+            out.append((len(clusters), len(fits) > 1))
+            clusters.append([key])
+        else:
+            out.append((fits[0], False))
+            clusters[fits[0]].append(key)
+    return out
+
+
+def merged_keys(m: DataFrame, threshold: int = 88, scorer: str = "token_set", kinds=FUZZY) -> DataFrame:
+    """(doc_id, entity_type, key, owner, cluster, ambiguous): the different keys
+    of a document, each with its cluster's longest key.  Only lists of two or
+    more keys leave the JVM, and never a text."""
+    ship(m.sparkSession)
+    names = m.where(F.col("entity_type").isin(*kinds) & ~F.col("is_alias") & (F.col("key") != "")).groupBy("doc_id", "entity_type", "key").agg(F.min(F.struct("start", -F.col("end"))).alias("at"))
+    lists = names.groupBy("doc_id", "entity_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("ks"))
+    schema = f"doc_id {m.schema['doc_id'].dataType.simpleString()}, entity_type string, key string, owner string, cluster int, ambiguous boolean"
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for d, t, ss in zip(pdf["doc_id"], pdf["text"], pdf["surfaces"], strict=True):
-                words = sorted({s for s in ss if len(s) >= 4}, key=lambda s: (-len(s), s))
-                if words:
-                    rows += [(d, m.start(), m.end(), m.group()) for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)", t, re.I)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "text"])
-
-    stem = F.when(F.col("entity_type") == "ORGANISATION", T.split_suffix(F.col("representative"))[0])
-    words = F.array_append(F.split("surfaces", r"\|"), F.coalesce(stem, F.lit("")))
-    s = ents.where(F.col("entity_type").isin(*kinds)).groupBy("doc_id").agg(F.flatten(F.collect_list(words)).alias("surfaces"))
-    found = docs.join(s, "doc_id").select("doc_id", "text", "surfaces").mapInPandas(run, "doc_id long, start int, end int, text string")
-    return found.join(known.select("doc_id", "start", "end").distinct(), ["doc_id", "start", "end"], "left_anti").withColumn("confidence", F.lit(0.85))
+            for d, kind, ks in zip(pdf["doc_id"], pdf["entity_type"], pdf["ks"], strict=True):
+                keys = list(ks)
+                got = first_fit(kind, keys, threshold, scorer)
+                owner: dict[int, str] = {}
+                for key, (c, _) in zip(keys, got, strict=True):
+                    owner[c] = min(owner.get(c, key), key, key=lambda k: (-len(k), k))
+                rows += [(d, kind, key, owner[c], c + 1, doubt) for key, (c, doubt) in zip(keys, got, strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "entity_type", "key", "owner", "cluster", "ambiguous"])
+
+    alone = lists.where(F.size("ks") == 1).select("doc_id", "entity_type", F.col("ks")[0].alias("key"), F.col("ks")[0].alias("owner"), F.lit(1).alias("cluster"), F.lit(False).alias("ambiguous"))
+    return lists.where(F.size("ks") > 1).mapInPandas(run, schema).unionByName(alone)
+
+
+def fuzzy_clusters(m: DataFrame, threshold: int = 88, scorer: str = "token_set", kinds=FUZZY) -> DataFrame:
+    """Every mention with its cluster by first fit (numbers per document and type)."""
+    keys = merged_keys(m, threshold, scorer, kinds).drop("owner")
+    return m.join(keys, ["doc_id", "entity_type", "key"]).select("doc_id", "entity_type", "start", "text", "cluster", "ambiguous")
+
+
+def resolve(m: DataFrame, threshold: int = 88, scorer: str = "token_set", merge_aliases: bool = True) -> DataFrame:
+    """Mentions with the key of their entity: names merged by first fit, generic
+    phrases given to the one entity of their type.  The key is null where a
+    phrase could stand for several; without `merge_aliases` phrases keep their own."""
+    owners = merged_keys(m, threshold, scorer).select("doc_id", "entity_type", "key", "owner")
+    named = m.join(owners, ["doc_id", "entity_type", "key"], "left").withColumn("key", F.coalesce("owner", "key")).drop("owner")
+    if not merge_aliases:
+        return named
+    per = named.where("not is_alias and key <> ''").groupBy("doc_id", "entity_type").agg(F.count_distinct("key").alias("n"), F.min("key").alias("only"))
+    j = named.join(per, ["doc_id", "entity_type"], "left")
+    return j.withColumn("key", F.when(~F.col("is_alias") | F.col("n").isNull(), F.col("key")).when(F.col("n") == 1, F.col("only"))).drop("n", "only")
+
+
+def resolve_pages(m: DataFrame) -> DataFrame:
+    """Mentions with the key of their entity by the page cleaner's rules:
+    organisations of one stem, abbreviations and bare surnames go to the one
+    longer name they fit."""
+    org = (F.col("entity_type") == "ORGANISATION") & ~F.col("text").rlike(r"^[A-Z.]{2,8}$") & (F.col("key") != "")
+    stem = F.when(org, T.org_stem(F.col("key"), "B"))
+    longest = m.where(org).groupBy("doc_id", stem.alias("stem")).agg(F.max_by("key", F.struct(F.length("key"), F.col("key"))).alias("longest"))
+    one = m.withColumn("stem", stem).join(longest, ["doc_id", "stem"], "left").withColumn("key", F.coalesce("longest", "key")).drop("stem", "longest")
+    names = exact_clusters(one)
+    short = surname_links(names).withColumn("entity_type", F.lit("PERSON")).unionByName(
+        abbreviation_links(names).select("doc_id", F.lower("abbreviation").alias("key"), "owner", F.lit("ORGANISATION").alias("entity_type")))
+    return one.join(short, ["doc_id", "entity_type", "key"], "left").withColumn("key", F.coalesce("owner", "key")).drop("owner")
+
+
+def sweep(docs: DataFrame, m: DataFrame, kinds=FUZZY) -> DataFrame:
+    """Occurrences, in any case, of names that resolved mentions carry and of
+    organisations' stems (with or without a legal suffix) where nothing was
+    found: mentions of the same entities (.85).
+
+    Names have four letters or more, persons two words or more.  Each document
+    searches its text once for its own names, longest first."""
+    text, org = F.trim("text"), F.col("entity_type") == "ORGANISATION"
+    named = m.where(F.col("entity_type").isin(*kinds) & ~F.col("is_alias") & (F.col("key") != "")).where((F.col("entity_type") != "PERSON") | text.rlike(r"\S\s+\S"))
+    legal = r"\s+(?:" + "|".join(sorted(T.SUFFIX_A, key=lambda w: (-len(w), w))) + r")\b\.?"
+    bare = lambda c: F.regexp_replace(c, f"(?:{legal})+$", "")
+    forms = F.when(org, F.array(F.lower(text), bare(F.lower(text)))).otherwise(F.array(F.lower(text)))
+    forms = named.select("doc_id", F.explode(forms).alias("form"), F.struct("entity_type", "key").alias("of")).where(F.length("form") >= 4)
+    one = forms.groupBy("doc_id", "form").agg(F.min("of").alias("of"))
+    quoted = F.concat(F.regexp_replace("form", r"([^\p{L}\p{N}\s])", r"\\$1"), F.when(F.col("of.entity_type") == "ORGANISATION", F.lit(f"(?:{legal})?")).otherwise(F.lit("")))
+    item = F.struct((-F.length("form")).alias("n"), F.col("form"), quoted.alias("quoted"), F.col("of"))
+    per = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("xs")).select(
+        "doc_id", F.map_from_entries(F.transform("xs", lambda x: F.struct(x["form"], x["of"]))).alias("owner"),
+        F.concat(F.lit(r"(?i)(?<!\w)(?:"), F.array_join(F.transform("xs", lambda x: x["quoted"]), "|"), F.lit(r")(?!\w)")).alias("pattern"))
+    hits = docs.select("doc_id", F.col("text").alias("t")).join(per, "doc_id").select("doc_id", "owner", F.explode(matches(F.col("t"), F.col("pattern"))).alias("h"))
+    low = F.lower("h.text")
+    whose = F.coalesce(F.try_element_at("owner", low), F.try_element_at("owner", bare(low)))
+    new = hits.withColumn("of", whose).where("of is not null").select("doc_id", F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.text").alias("text"), "of.entity_type", F.lit(0.85).alias("confidence"), F.lit("registry.text_sweep").alias("detector"), "of.key", F.lit(True).alias("is_alias"))
+    # a hit is new where no known span meets it: the furthest end of spans that start before it and the next start
+    both = m.select(*new.columns).withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False)))
+    before = Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("doc_id").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    free = both.withColumn("reach", F.max(F.when(F.col("known"), F.col("end"))).over(before)).withColumn("next", F.min(F.when(F.col("known"), F.col("start"))).over(after))
+    return free.where(~F.col("known") & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))).select(*new.columns)

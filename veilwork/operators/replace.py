@@ -141,7 +141,8 @@ def plan(ents: DataFrame, mode: str = "synthetic", seed: str = "s", key: bytes =
     if store is not None:
         e = e.join(store.select("entity_type", "original_hash", F.col("replacement").alias("stored")), ["entity_type", "original_hash"], "left")
         value = F.coalesce(F.col("stored"), value)
-    return e.select("doc_id", "entity_id", "entity_type", "key", "representative", "n_mentions", "original_hash", T.like_case(value, F.col("representative")).alias("replacement"), F.lit(mode).alias("strategy"))
+    aliases = [c for c in ("aliases",) if c in ents.columns]
+    return e.select("doc_id", "entity_id", "entity_type", "key", "representative", *aliases, "n_mentions", "original_hash", T.like_case(value, F.col("representative")).alias("replacement"), F.lit(mode).alias("strategy"))
 
 
 def new_rows(store: DataFrame, replacements: DataFrame) -> DataFrame:

@@ -6,14 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import scan
+from ..functions.spans import detections
 from ..functions.text import is_generic
 
 
+def _originals(replacements: DataFrame) -> DataFrame:
+    """(doc_id, originals): every surface of a document's entities of three letters or more."""
+    every = F.array_union(F.array("representative"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in replacements.columns else F.array("representative")
+    o = replacements.select("doc_id", F.explode(every).alias("original")).where((F.length("original") >= 3) & ~is_generic(F.col("original")))
+    return o.groupBy("doc_id").agg(F.collect_set("original").alias("originals"))
+
+
+def _held(low: Column, names: Column) -> Column:
+    return F.filter(names, lambda o: low.contains(F.lower(o)))
+
+
 def leaks(output: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Originals of three letters or more that the output still holds."""
-    o = replacements.select("doc_id", F.col("representative").alias("original")).where(F.length("original") >= 3).where(~is_generic(F.col("original"))).distinct()
-    return output.select("doc_id", F.lower("text").alias("t")).join(o, "doc_id").where(F.col("t").contains(F.lower("original"))).select("doc_id", "original").distinct()
+    """Originals, aliases among them, that the output still holds."""
+    j = output.select("doc_id", F.lower("text").alias("t")).join(_originals(replacements), "doc_id")
+    return j.select("doc_id", F.explode(_held(F.col("t"), F.col("originals"))).alias("original")).distinct()
 
 
 def missing(output: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -26,13 +37,21 @@ def not_unique(replacements: DataFrame) -> DataFrame:
     return replacements.groupBy("entity_type", "original_hash").agg(F.count_distinct(F.lower("replacement")).alias("n")).where("n > 1")
 
 
+def _left(text: Column, floor: float, exempt_synthetic: bool) -> Column:
+    found = F.concat(*[detections(text, p) for p in P.A])
+    keep = lambda d: d["confidence"] >= floor
+    return F.filter(found, lambda d: keep(d) & ~d["text"].contains(".example") & ~d["text"].contains("ZZ")) if exempt_synthetic else F.filter(found, keep)
+
+
 def residual(output: DataFrame, floor: float = 0.85, exempt_synthetic: bool = False) -> DataFrame:
-    found = scan(output, P.A).where(F.col("confidence") >= floor)
-    return found.where(~F.col("text").contains(".example") & ~F.col("text").contains("ZZ")) if exempt_synthetic else found
+    return output.select("doc_id", F.explode(_left(F.col("text"), floor, exempt_synthetic)).alias("d")).select("doc_id", "d.*")
 
 
 def layout(before: Column, after: Column) -> Column:
-    a, b = F.regexp_count(before, F.lit("\n")), F.regexp_count(after, F.lit("\n"))
+    return _layout(F.regexp_count(before, F.lit("\n")), F.regexp_count(after, F.lit("\n")))
+
+
+def _layout(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(a - b) / F.greatest(F.lit(1), a))
 
 
@@ -44,12 +63,14 @@ def quality(n_leaks: Column, n_residual: Column, n_missing: Column, layout_score
 
 
 def report(docs: DataFrame, output: DataFrame, replacements: DataFrame, max_leaks: int = 0, max_residual: int = 0, floor: float = 0.8, exempt_synthetic: bool = False) -> DataFrame:
-    """One row per document: counts, scores and whether it passes."""
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    j = docs.select("doc_id", F.col("text").alias("before")).join(output.select("doc_id", F.col("text").alias("after")), "doc_id")
-    for df, name in ((leaks(output, replacements), "n_leaks"), (residual(output, exempt_synthetic=exempt_synthetic), "n_residual"), (missing(output, replacements), "n_missing")):
-        j = j.join(count(df, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    j = j.withColumn("layout", layout(F.col("before"), F.col("after")))
+    """One row per document: counts, scores and whether it passes.  The output
+    is read once; beside it go only a document's names and its number of lines."""
+    new = replacements.groupBy("doc_id").agg(F.collect_list("replacement").alias("new"))
+    j = output.select("doc_id", F.col("text").alias("after")).join(docs.select("doc_id", F.regexp_count("text", F.lit("\n")).alias("lines")), "doc_id")
+    j = j.join(new, "doc_id", "left").join(_originals(replacements), "doc_id", "left").withColumn("t", F.lower("after"))
+    size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long")
+    j = j.select("doc_id", size(_held(F.col("t"), F.col("originals"))).alias("n_leaks"), size(_left(F.col("after"), 0.85, exempt_synthetic)).alias("n_residual"),
+                 size(F.filter("new", lambda r: ~F.col("t").contains(F.lower(r)))).alias("n_missing"), _layout(F.col("lines"), F.regexp_count("after", F.lit("\n"))).alias("layout"))
     j = j.withColumn("quality", quality(F.col("n_leaks"), F.col("n_residual"), F.col("n_missing"), F.col("layout")))
     ok = (F.col("n_leaks") <= max_leaks) & (F.col("n_residual") <= max_residual) & (F.col("quality") >= floor)
     return j.select("doc_id", "n_leaks", "n_residual", "n_missing", "layout", "quality", ok.alias("passed"))

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.spans import scan
 from ..operators import detect, linkage, replace, validate
 from ..operators import span_algebra as S
+from ..runtime import saved
 from . import flow
 from .kyc import PARTS, TEXT, kyc, views
 from .scans import _sql_text, pattern_sql, span_sql
@@ -253,6 +254,48 @@ def _(spark, d):
     return linkage.email_owner_links(linkage.entities(linkage.mentions(made_entities(spark, d))))
 
 
+def linked(spark, d):
+    """The organisation and person of each customer with an address and a page of theirs."""
+    rows = F.array(*[F.struct(F.lit(i * 100).alias("start"), F.lit(i * 100 + 9).alias("end"), t.alias("text"), F.lit(k).alias("entity_type"), F.lit(0.9).alias("confidence"), F.lit("made").alias("detector")) for i, (t, k) in enumerate((
+        (F.concat_ws(" ", "first_name", "last_name"), "PERSON"), (F.col("org"), "ORGANISATION"), (F.concat("last_name", F.lit("."), "two", F.lit("@mail.example")), "EMAIL"),
+        (F.concat(F.lit("https://www."), F.lower(F.substring_index("stem", " ", 1)), "two", F.lit(".com/")), "URL")))])
+    return linkage.entities(linkage.mentions(parts(spark, d).select("doc_id", F.explode(rows).alias("m")).select("doc_id", "m.*")))
+
+
+@query("cl_link_url", f"SELECT doc_id, lower(split_part(stem, ' ', 1)) || two || '.com' AS url, {org_norm('org')} AS org FROM ({PARTS}) p")
+def _(spark, d):
+    return linkage.url_owner_links(linked(spark, d))
+
+
+@query("cl_link_person", f"SELECT doc_id, lower(last_name) || '.' || two || '@mail.example' AS email, lower(first_name || ' ' || last_name) AS person FROM ({PARTS}) p")
+def _(spark, d):
+    return linkage.email_person_links(linked(spark, d))
+
+
+_EID = "'EMAIL_001_' || substring(sha1(lower(last_name) || '.' || two || '@mail.example'), 1, 8)"
+_PID = "'PERSON_001_' || substring(sha1(lower(first_name || ' ' || last_name)), 1, 8)"
+
+
+@query("cl_related", f"SELECT doc_id, {_EID} AS entity_id, {_PID} AS related FROM ({PARTS}) p UNION ALL SELECT doc_id, {_PID}, {_EID} FROM ({PARTS}) q")
+def _(spark, d):
+    return linkage.related(linked(spark, d))
+
+
+def variants(spark, d):
+    """Written forms of one organisation and one person, the surname alone, and the generic phrase."""
+    rows = F.array(*[F.struct(F.lit(i * 100).alias("start"), F.lit(i * 100 + 9).alias("end"), t.alias("text"), F.lit(k).alias("entity_type"), F.lit(0.9).alias("confidence"), F.lit("made").alias("detector")) for i, (t, k) in enumerate((
+        (F.col("org"), "ORGANISATION"), (F.concat(F.upper("stem"), F.lit(" LTD.")), "ORGANISATION"), (F.concat_ws(" ", "first_name", "last_name"), "PERSON"), (F.concat(F.lit("Mr "), F.substring("first_name", 1, 1), F.lit(". "), F.col("last_name")), "PERSON"),
+        (F.col("last_name"), "PERSON"), (F.lit("the  Company"), "ORGANISATION"), (F.concat(F.lit("Q"), F.col("two"), F.lit(" Bakers PLC")), "ORGANISATION")))])
+    return parts(spark, d).select("doc_id", F.explode(F.when(F.col("doc_id") % 2 == 0, F.slice(rows, 1, 6)).otherwise(rows)).alias("m")).select("doc_id", "m.*")
+
+
+@query("cl_resolve", f"""SELECT doc_id, entity_type, start, CASE WHEN start = 500 AND doc_id % 2 = 1 THEN NULL WHEN entity_type = 'PERSON' THEN lower(first_name || ' ' || last_name) WHEN start = 600 THEN 'q' || two || ' bakers plc' ELSE lower(stem) || ' limited' END AS key
+FROM (SELECT *, unnest([0, 100, 200, 300, 400, 500, 600]) AS start FROM ({PARTS}) p) x, (VALUES (0, 'ORGANISATION'), (100, 'ORGANISATION'), (200, 'PERSON'), (300, 'PERSON'), (400, 'PERSON'), (500, 'ORGANISATION'), (600, 'ORGANISATION')) k(place, entity_type)
+WHERE place = start AND (start < 600 OR doc_id % 2 = 1)""")
+def _(spark, d):
+    return linkage.resolve(linkage.mentions(variants(spark, d))).select("doc_id", "entity_type", "start", "key")
+
+
 @query("cl_entities")
 def _(spark, d):
     return linkage.entities(linkage.mentions(made_entities(spark, d)))
@@ -277,8 +320,7 @@ def _(spark, d):
 @query("sweep")
 def _(spark, d):
     t = kyc(spark, d)
-    found = S.dedup(flow.detections_a(t))
-    return linkage.sweep(t.select("doc_id", "text"), linkage.entities(linkage.mentions(found)), found)
+    return linkage.sweep(t.select("doc_id", "text"), saved(linkage.resolve(saved(linkage.mentions(S.dedup(flow.detections_a(t)))))))
 
 
 # replacements
@@ -322,7 +364,7 @@ QUERIES["val_report"] = lambda spark, d: dataflow(spark, d)["validation"]
 @query("pipeline_b")
 def _(spark, d):
     t = kyc(spark, d).select("doc_id", "text")
-    return flow.anonymise(t, flow.detections_b(t, SEEDS))["output"]
+    return flow.anonymise(t, flow.detections_b(t, SEEDS), variant="B")["output"]
 
 
 @query("flagship")
@@ -402,7 +444,7 @@ def _(spark, d):
 @query("rep_audit")
 def _(spark, d):
     t = kyc(spark, d).select("doc_id", "text")
-    found = flow.detections_a(t)
+    found = saved(flow.detections_a(t))
     return validate.audit(t, found, flow.anonymise(t, found)["validation"])
 
 

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions.spans import scan
 from ..operators import detect, linkage, replace, validate
 from ..operators import span_algebra as S
+from ..runtime import saved
 
 
 def detections_a(docs: DataFrame, floor: float = 0.4) -> DataFrame:
@@ -25,12 +26,22 @@ def detections_b(docs: DataFrame, seeds: list[tuple[str, str]] = (), max_chars:
     return found.unionByName(detect.seed_hits(docs, list(seeds))) if seeds else found
 
 
-def anonymise(docs: DataFrame, found: DataFrame, mode: str = "synthetic", seed: str = "s", store: DataFrame | None = None, exempt_synthetic: bool = True) -> dict[str, DataFrame]:
-    """Detections to output text, replacements and validation."""
-    kept = S.dedup(found)
-    m = linkage.mentions(kept)
-    ents = linkage.entities(m)
-    plan = replace.plan(ents, mode, seed, store=store)
+def anonymise(docs: DataFrame, found: DataFrame, mode: str = "synthetic", seed: str = "s", store: DataFrame | None = None, exempt_synthetic: bool = True, variant: str = "A") -> dict[str, DataFrame]:
+    """Detections to output text, replacements and validation.
+
+    Variant A merges names by first fit, gives generic phrases to the one entity
+    of their type and sweeps the text for known names; variant B groups by stem,
+    abbreviation and surname.  Every mention of an entity gets its replacement.
+    """
+    m = saved(linkage.mentions(S.dedup(found), variant))
+    if variant == "A":
+        columns = [*linkage.MENTION, "key", "is_alias"]
+        m = saved(linkage.resolve(m).select(*columns))
+        m = saved(m.unionByName(linkage.sweep(docs, m).select(*columns)))
+    else:
+        m = saved(linkage.resolve_pages(m))
+    ents = linkage.entities(m, aliases=True)
+    plan = saved(replace.plan(ents, mode, seed, store=store))
     edits = m.join(plan.select("doc_id", "entity_type", "key", "replacement"), ["doc_id", "entity_type", "key"]).select("doc_id", "start", "end", "replacement")
     output = S.apply_edits(docs.select("doc_id", "text"), edits)
     return {"entities": ents, "plan": plan, "edits": edits, "output": output, "validation": validate.report(docs, output, plan, exempt_synthetic=exempt_synthetic)}
@@ -39,7 +50,7 @@ def anonymise(docs: DataFrame, found: DataFrame, mode: str = "synthetic", seed:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails and phone numbers of documents, found, replaced and checked."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan(docs, [p for p in P.A if p.name in ("re_email", "re_phone")])
+    found = saved(scan(docs, [p for p in P.A if p.name in ("re_email", "re_phone")]))
     out = anonymise(docs, found)
     n = found.groupBy("doc_id").agg(F.count("*").alias("n_detections"))
     e = out["entities"].groupBy("doc_id").agg(F.count("*").alias("n_entities"))
