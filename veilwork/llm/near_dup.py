@@ -13,7 +13,9 @@ shingle sets confirms every link.
   values lead nobody anywhere and their lists stay closed.
 * A coarse sketch, the first values of the full one, goes first: a class that
   has too many values of its own there is left out of the lists, so only
-  classes that can have a partner pay for all k values.
+  classes that can have a partner pay for all k values.  A value counts as its
+  class's own where no other class that holds it has a size within the
+  threshold: chance meetings of texts of other lengths open no list.
 * A list first links its members to its most central one, whose values the most
   others retain: in a group of near copies that is the least edited.  Members
   of lists that then still hold different components get new lists from deeper
@@ -43,6 +45,8 @@ MEMO = 1 << 19
 RETAINED, COARSE, DEEP = 96, 32, 1024
 #: Listed values that a pair shares at least, and members up to which a list's pairs are all counted.
 SHARED, SMALL = 8, 4
+#: Ratio of neighbouring size classes.
+SIZE_STEP = 1.05
 #: Rounds in which lists of deep sketches link their members to one of them before all pairs are asked for.
 ROUNDS = 2
 
@@ -131,21 +135,38 @@ def _unlike(n: Column, k: int, percent: int) -> Column:
     return F.least(n, F.lit(k)) - least
 
 
-def _shared(values: DataFrame) -> DataFrame:
-    """(v, df): values that several classes retain."""
-    return values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent: int) -> DataFrame:
-    """(v, id, n, central, share): the rarest retained values of each class that
+def _shared(values: DataFrame, percent: int) -> DataFrame:
+    """(v, z, df): values of classes of size class z that another class holds
+    too whose size is within the threshold; df counts all classes of v, so that
+    every class orders its values alike."""
+    reach = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP) + 1e-6)
+    # one entry a size class: bounded however many classes hold v
+    sizes = values.groupBy("v", _size_class(F.col("n")).alias("z")).agg(F.count("*").alias("c")).groupBy("v").agg(
+        F.collect_list(F.struct("z", "c")).alias("zs"), F.sum("c").alias("df")).where("df > 1")
+    near = lambda x: F.aggregate(F.filter("zs", lambda y: F.abs(y.z - x.z) <= reach), F.lit(0).cast("long"), lambda t, y: t + y.c)
+    met = F.filter("zs", lambda x: near(x) > 1)
+    return sizes.select("v", F.explode(met).alias("x"), "df").select("v", F.col("x.z").alias("z"), "df")
+
+
+def _with_shared(scratch: Scratch, values: DataFrame, percent: int) -> DataFrame:
+    return values.withColumn("z", _size_class(F.col("n"))).join(scratch.save(_shared(values, percent)), ["v", "z"])
+
+
+def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that can have a partner, and (v, id, n, central, share): the rarest retained values of each class that
     others retain too; central grows with how many others retain its values.
     As many as make a pair share at least `share` of them, whatever its sizes."""
     few = classes.select("id", "n", F.explode(F.slice("sketch", 1, coarse)).alias("v"))
     own = F.least("n", F.lit(coarse)) - F.col("common")
-    able = scratch.save(few.join(scratch.save(_shared(few)), "v").groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("common"))
+    able = scratch.save(_with_shared(scratch, few, percent).groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("common"))
                         .where(own <= _unlike(F.col("n"), coarse, percent)).select("id"))
-    values = scratch.save(classes.join(able, "id", "left_semi").select("id", "n", F.explode("sketch").alias("v")))
-    shared = values.join(scratch.save(_shared(values)), "v")
+    classes = scratch.save(classes.join(able, "id", "left_semi").select("id", "n", "sketch"))
+    values = classes.select("id", "n", F.explode("sketch").alias("v"))
+    shared = _with_shared(scratch, values, percent)
     # values nobody else retains are the rarest: they fill the prefix first
     kept = shared.groupBy("id").agg(F.first("n").alias("n"), F.sum("df").alias("central"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     take = _unlike(F.col("n"), k, percent) + SHARED - (F.least("n", F.lit(k)) - F.size("vs"))
@@ -153,8 +174,8 @@ def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent
     share = F.least(F.lit(SHARED), F.ceil(F.col("n") * (percent * percent) / 10_000)).cast("int")
     out = scratch.save(kept.where(take >= share).select("id", "n", "central", share.alias("share"), F.explode(F.slice("vs", F.lit(1), take.cast("int"))).alias("x"))
                        .select(F.col("x.v").alias("v"), "id", "n", "central", "share"))
-    scratch.drop(able, values)
-    return out
+    scratch.drop(able)
+    return classes, out
 
 
 def _may_be_alike(sa: Column, sb: Column, na: Column, nb: Column, k: int, percent: int) -> Column:
@@ -182,7 +203,7 @@ def _likely(scratch: Scratch, pairs: DataFrame, classes: DataFrame, k: int, perc
 def _open_lists(scratch: Scratch, open_: DataFrame, deep: int, percent: int) -> DataFrame:
     """(v, id, n, c, rank) for (id, c, set), by sketches of `deep` values, rarest first."""
     values = scratch.save(open_.select("id", "c", F.size("set").cast("long").alias("n"), F.explode(F.slice("set", 1, deep)).alias("v")))
-    shared = values.join(scratch.save(_shared(values)), "v")
+    shared = _with_shared(scratch, values, percent)
     kept = shared.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     own = F.least("n", F.lit(deep)) - F.size("vs")
     take = _unlike(F.col("n"), deep, percent) + 1 - own
@@ -218,19 +239,27 @@ def _across(post: DataFrame, deep: int, percent: int) -> DataFrame:
     return x.join(y, "v").where(F.col("a") < F.col("b")).where(_early(deep, percent)).select("a", "b").distinct()
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, base = None, None
+        leader, bases, met = None, {}, False
         for batch in batches:
             a_, b_ = [], []
             for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = x.values.to_numpy()
                 if b is None:
-                    leader, base = a, s
+                    # an id of several texts leads with each of them
+                    if met or a != leader:
+                        leader, bases, met = a, {}, False
+                    bases.setdefault(xxhash.xxh3_128_digest(s.tobytes()), s)
                     continue
                 assert a == leader
-                inter = len(np.intersect1d(base, s, assume_unique=True))
-                if 100 * inter >= percent * (len(base) + len(s) - inter):
+                met = True
+                if any(_alike(base, s, percent) for base in bases.values()):
                     a_.append(a)
                     b_.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
@@ -276,11 +305,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = scratch.save(all_.drop("sketch"))
     scratch.drop(all_)
     known = sk.where("id is not null and n > 0")
-    lists = _postings(scratch, classes, k, coarse, percent)
-    asked = lists.select("id").distinct()
+    reps = scratch.save(classes.drop("sketch"))
+    able, lists = _postings(scratch, classes, k, coarse, percent)
+    scratch.drop(classes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    # one way at every size: an exchange of the texts
-    sets = scratch.save(texts.join(asked.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        # one way at every size: an exchange of the texts
+        return scratch.save(texts.join(ids.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
+
     heads = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("central", -F.col("id"))).alias("a")).where("m > 1"))
     headed = scratch.save(lists.join(heads, "v"))
     large = headed.where(F.col("m") > SMALL)
@@ -289,14 +322,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x, y = (few.select("v", F.col("id").alias(i), F.col("share").alias(f"k{i}")) for i in "ab")
     pairs = x.join(y, "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.first("ka"), F.first("kb")).alias("share")).where("2 * c >= share").select("a", "b")
     star = large.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = _links(scratch, _likely(scratch, pairs.unionByName(star), classes, k, percent), sets, percent, k)
+    likely = _likely(scratch, pairs.unionByName(star), able, k, percent)
+    scratch.drop(able)
+    # sketches that hold both sets whole have compared them already
+    far = likely.where(F.col("n") > k).select("a", "b")
+    sets = sets_of(far.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = likely.where(F.col("n") <= k).select("a", "b").unionByName(scratch.save(_verified(far, sets, percent)))
+    scratch.drop(sets)
     comp = scratch.save(connected_components(scratch, links))
     # what is left: members of large lists in different components
     placed = large.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "share", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    left = placed.join(scratch.save(mixed), "v").groupBy("id").agg(F.first("c").alias("c"), F.count("*").alias("k"), F.first("share").alias("share")).where("2 * k > share")
-    open_ = scratch.save(left.select("id", "c").join(sets, "id"))
-    post = _open_lists(scratch, open_, deep, percent)
+    left = scratch.save(placed.join(scratch.save(mixed), "v").groupBy("id").agg(F.first("c").alias("c"), F.count("*").alias("k"), F.first("share").alias("share")).where("2 * k > share").select("id", "c"))
+    scratch.drop(lists, headed)
+    sets = sets_of(left.select("id"))
+    post = _open_lists(scratch, left.join(sets, "id"), deep, percent)
     for step in (*range(ROUNDS), None):
         pairs = scratch.save(_across(post, deep, percent) if step is None else _with_leader(post, deep, percent, step))
         # deep sketches hold these sets whole or nearly so: only the full sets tell more
@@ -304,15 +344,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = scratch.save(connected_components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         if step is not None:
             post = scratch.save(post.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "c").alias("c"), "rank"))
-    scratch.drop(open_, lists, headed, sets)
-    member = known.join(classes.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"]).select("id", "n", "s1", "s2", "rep")
+    scratch.drop(sets)
+    member = known.join(reps.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"]).select("id", "n", "s1", "s2", "rep")
     alone = sk.where("id is null or n = 0").select("id", "n", "s1", "s2", F.col("id").alias("rep"))
     rows = member.unionByName(alone).join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     cid = F.coalesce("component", "rep")
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("id") == cid, F.lit(True)).alias("kept"))
-
-
-def _links(scratch: Scratch, likely: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Sketches that hold both sets whole have compared them already."""
-    far = likely.where(F.col("n") > k).select("a", "b")
-    return likely.where(F.col("n") <= k).select("a", "b").unionByName(scratch.save(_verified(far, sets, percent)))
