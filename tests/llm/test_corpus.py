@@ -326,3 +326,18 @@ def test_url_rules(spark):
     assert got[1] == ("a.example.org", "/en/12", "example.org/en/1", "block") and got[2][2:] == ("org/", "allow") and got[3][:3] == ("x.org", "", None)
     assert got[4] == ("shop.com", "/de/", "com/de/", "block") and got[5][:3] == ("", "", None) and got[6][:2] == ("", "")
     assert got[7][2:] == ("example.org/es/", "block") and got[8][2:] == ("org/", "allow")
+
+
+def test_verifier_compares_each_text_of_a_leading_id():
+    import pyarrow as pa
+
+    from veilwork.llm.near_dup import _verifier
+
+    x, y = np.arange(10), np.arange(100, 110)
+    rows = [(1, None, x), (1, None, y), (1, 5, y), (1, 6, np.arange(50)), (1, None, x), (1, 7, x), (1, 8, y), (2, None, y), (2, 5, y), (2, 9, x)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                        pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["a", "b", "set"])
+    # a block of one leader starts anew with its own sets
+    cut = [batch.slice(0, 3), batch.slice(3, 4), batch.slice(7)]
+    got = [p for out in _verifier(80)(iter(cut)) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    assert got == [(1, 5), (1, 7), (2, 5)]

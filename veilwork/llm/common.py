@@ -63,6 +63,12 @@ class Scratch:
         for df in frames:
             _delete(self.spark, df._veilwork_path)
 
+    def release(self) -> None:
+        """Let go of the shuffle files of finished steps.  Spark deletes them when
+        the driver's collector meets their last reference, by default every
+        half an hour; until then each step's files lie under the next one's."""
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         _delete(self.spark, self.root)
 

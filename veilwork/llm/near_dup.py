@@ -175,6 +175,7 @@ def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent
     out = scratch.save(kept.where(take >= share).select("id", "n", "central", share.alias("share"), F.explode(F.slice("vs", F.lit(1), take.cast("int"))).alias("x"))
                        .select(F.col("x.v").alias("v"), "id", "n", "central", "share"))
     scratch.drop(able)
+    scratch.release()
     return classes, out
 
 
@@ -304,6 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(all_.where("id is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")))
     sk = scratch.save(all_.drop("sketch"))
     scratch.drop(all_)
+    scratch.release()
     known = sk.where("id is not null and n > 0")
     reps = scratch.save(classes.drop("sketch"))
     able, lists = _postings(scratch, classes, k, coarse, percent)
@@ -312,7 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(ids: DataFrame) -> DataFrame:
         # one way at every size: an exchange of the texts
-        return scratch.save(texts.join(ids.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
+        out = scratch.save(texts.join(ids.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
+        scratch.release()
+        return out
 
     heads = scratch.save(lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("central", -F.col("id"))).alias("a")).where("m > 1"))
     headed = scratch.save(lists.join(heads, "v"))
@@ -324,11 +328,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = large.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     likely = _likely(scratch, pairs.unionByName(star), able, k, percent)
     scratch.drop(able)
+    scratch.release()
     # sketches that hold both sets whole have compared them already
     far = likely.where(F.col("n") > k).select("a", "b")
     sets = sets_of(far.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = likely.where(F.col("n") <= k).select("a", "b").unionByName(scratch.save(_verified(far, sets, percent)))
     scratch.drop(sets)
+    scratch.release()
     comp = scratch.save(connected_components(scratch, links))
     # what is left: members of large lists in different components
     placed = large.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "share", F.coalesce("component", "id").alias("c"))
@@ -341,6 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = scratch.save(_across(post, deep, percent) if step is None else _with_leader(post, deep, percent, step))
         # deep sketches hold these sets whole or nearly so: only the full sets tell more
         more = scratch.save(_verified(pairs, sets, percent))
+        scratch.release()
         comp = scratch.save(connected_components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         if step is not None:
             post = scratch.save(post.join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "c").alias("c"), "rank"))
