@@ -112,6 +112,22 @@ def test_repeats_of_odd_ids(spark, hot):
     assert len(twice) == 4 and all(r.n_removed == r.n_bytes for r in twice)
 
 
+@pytest.mark.parametrize("conf", [{"autoBroadcastJoinThreshold": "512"}, {
+    "autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "adaptive.skewJoin.skewedPartitionFactor": "0"}])
+def test_repeats_under_any_join(spark, conf):
+    """A group's domains meet in one task however Spark joins, splits and reads the tables before."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    passages = [words(60) for _ in range(200)]
+    rows = [(3 * i + k, f"{words(40)}{k}{p}{k}{words(40)}") for k in range(3) for i, p in enumerate(passages)]
+    rows += [(600 + i, f"{words(9)}{chr(65 + i)}{passages[0]}{chr(65 + i)}{words(9)}") for i in range(50)]
+    session = spark.newSession()  # settings of its own
+    for k, v in {"shuffle.partitions": "4", "adaptive.coalescePartitions.enabled": "false", **conf}.items():
+        session.conf.set(f"spark.sql.{k}", v)
+    got = {r.doc_id: r.n_removed for r in without_repeats(frame(session, rows)).collect()}
+    assert got == {i: len(passages[0]) for i, _ in rows}
+
+
 def test_deep_shallow_sort():
     rng = random.Random(1)
     for known in (0, 3):

@@ -107,7 +107,7 @@ def _scan(length: int, gram: int):
     return run
 
 
-CTX = pa.schema([("kg", pa.int64()), ("uniq", pa.bool_()), ("id", pa.int64()), ("p0", pa.int32()), ("lf", pa.int32()), ("ctx", pa.binary())])
+CTX = pa.schema([("kg", pa.int64()), ("uniq", pa.bool_()), ("hot", pa.bool_()), ("id", pa.int64()), ("p0", pa.int32()), ("lf", pa.int32()), ("ctx", pa.binary())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +120,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = b[w["p0"]:w["p0"] + w["ln"]]
                 # another text of the same id has other bytes there
                 if xxhash.xxh3_64_intdigest(c, w["lf"]) == w["ch"] & (1 << 64) - 1:
-                    rows.append((w["kg"], w["uniq"], i, w["p0"], w["lf"], c))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
+                    rows.append((w["kg"], w["uniq"], w["hot"], i, w["p0"], w["lf"], c))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, CTX, strict=True)], schema=CTX)
 
 
@@ -262,13 +262,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = rep.join(cls.where("c > 1").select("kg", "ch"), ["kg", "ch"]).select("id", F.col("p0").alias("s"), (F.col("p0") + F.col("ln")).alias("e"))
     kinds = scratch.save(cls.groupBy("kg").agg(F.count("*").alias("m")).where("m > 1"))
     # the bytes of the different domains below one k-gram
-    want = cls.join(kinds, "kg").select("one.id", F.struct("kg", (F.col("c") == 1).alias("uniq"), "one.p0", F.col("one.lf").cast("int").alias("lf"), "one.ln", "ch").alias("w"))
+    want = cls.join(kinds, "kg").select("one.id", F.struct("kg", (F.col("c") == 1).alias("uniq"), (F.col("m") > hot).alias("hot"), "one.p0", F.col("one.lf").cast("int").alias("lf"), "one.ln", "ch").alias("w"))
     asked = want.groupBy("id").agg(F.collect_list("w").alias("want"))
-    ctx = scratch.save(src.join(asked, "id").select("id", "t", "want").mapInArrow(_cut, "kg long, uniq boolean, id long, p0 int, lf int, ctx binary"))
-    ctx = ctx.join(kinds.where(F.col("m") > hot).select("kg", F.lit(True).alias("hot")), "kg", "left")
-    few = ctx.where("hot is null").select("kg", "uniq", "id", "p0", "lf", "ctx").repartition(n_parts(spark), "kg").sortWithinPartitions("kg")
+    ctx = scratch.save(src.join(asked, "id").select("id", "t", "want").mapInArrow(_cut, "kg long, uniq boolean, hot boolean, id long, p0 int, lf int, ctx binary"))
+    # read from a table, never from a join by kg: Spark would take the join's exchange for this
+    # one, and then deal out parts of a group where it splits or broadcasts that join
+    few = ctx.where("not hot").drop("hot").repartition(n_parts(spark), "kg").sortWithinPartitions("kg")
     edges = few.mapInArrow(_edges(length, gram), "id long, s int, e int")
-    many = _hot_spans(scratch, scratch.save(ctx.where("hot").select("kg", "uniq", "id", "p0", "lf", "ctx")), length)
+    many = _hot_spans(scratch, scratch.save(ctx.where("hot").drop("hot")), length)
     spans = scratch.save(whole.unionByName(edges).unionByName(many))
     scratch.drop(rep)
     return spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
