@@ -344,6 +344,17 @@ def test_url_rules(spark):
     assert got[7][2:] == ("example.org/es/", "block") and got[8][2:] == ("org/", "allow")
 
 
+def test_only_texts_asked_for_are_exchanged(spark):
+    """All of them, whatever their ids, and few others."""
+    from veilwork.llm.near_dup import _among
+
+    asked = [0, -1, 7, 1 << 62, -(1 << 63), (1 << 63) - 1, *range(10_000, 10_500)]
+    rows = spark.createDataFrame([(i, "x") for i in [*asked, *asked[:9], *range(20_000, 30_000), None]], "id long, t string")
+    got = [r.id for r in _among(rows, spark.createDataFrame([(i,) for i in asked], "id long")).collect()]
+    assert sorted(i for i in got if i in asked) == sorted([*asked, *asked[:9]]) and len(got) < len(asked) + 30
+    assert _among(rows, spark.createDataFrame([], "id long")).count() == 0
+
+
 def test_verifier_compares_each_text_of_a_leading_id():
     import pyarrow as pa
 

@@ -47,6 +47,8 @@ RETAINED, COARSE, DEEP = 96, 32, 1024
 SHARED, SMALL = 8, 4
 #: Ratio of neighbouring size classes.
 SIZE_STEP = 1.05
+#: Places, a power of two, in the table that tells which texts are asked for.
+MARKS = 1 << 24
 #: Rounds in which lists of deep sketches link their members to one of them before all pairs are asked for.
 ROUNDS = 2
 
@@ -153,7 +155,9 @@ def _shared(values: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_shared(scratch: Scratch, values: DataFrame, percent: int) -> DataFrame:
-    return values.withColumn("z", _size_class(F.col("n"))).join(scratch.save(_shared(values, percent)), ["v", "z"])
+    shared = scratch.save(_shared(values, percent))
+    scratch.release()
+    return values.withColumn("z", _size_class(F.col("n"))).join(shared, ["v", "z"])
 
 
 def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +168,10 @@ def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent
     own = F.least("n", F.lit(coarse)) - F.col("common")
     able = scratch.save(_with_shared(scratch, few, percent).groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("common"))
                         .where(own <= _unlike(F.col("n"), coarse, percent)).select("id"))
-    classes = scratch.save(classes.join(able, "id", "left_semi").select("id", "n", "sketch"))
+    every, classes = classes, scratch.save(classes.join(able, "id", "left_semi").select("id", "n", "sketch"))
+    # most classes end here, and so do the shuffles of their values
+    scratch.drop(every, able)
+    scratch.release()
     values = classes.select("id", "n", F.explode("sketch").alias("v"))
     shared = _with_shared(scratch, values, percent)
     # values nobody else retains are the rarest: they fill the prefix first
@@ -174,7 +181,6 @@ def _postings(scratch: Scratch, classes: DataFrame, k: int, coarse: int, percent
     share = F.least(F.lit(SHARED), F.ceil(F.col("n") * (percent * percent) / 10_000)).cast("int")
     out = scratch.save(kept.where(take >= share).select("id", "n", "central", share.alias("share"), F.explode(F.slice("vs", F.lit(1), take.cast("int"))).alias("x"))
                        .select(F.col("x.v").alias("v"), "id", "n", "central", "share"))
-    scratch.drop(able)
     scratch.release()
     return classes, out
 
@@ -276,6 +282,19 @@ def _setter(width: int):
     return run
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is one of ids, and a few others: ids are marked in a
+    table of MARKS hashed places, of one size however many there are."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(MARKS - 1))
+    word = lambda c: F.shiftright(place(c), 6).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
+    marked = ids.groupBy(word("id").alias("w")).agg(F.bit_or(bit("id")).alias("b"))
+    whole = rows.sparkSession.range(MARKS >> 6).select(F.col("id").cast("int").alias("w")).join(marked, "w", "left")
+    table = whole.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x")).select(F.col("x.b").alias("marks"))
+    seen = F.get("marks", word("id")).bitwiseAND(bit("id")) != 0
+    return rows.join(F.broadcast(table), seen, "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, per_block: int = 64) -> DataFrame:
     """Links of which the full sets agree.  A leader's set is sent once to
     each block of at most about `per_block` partners and compared there as the
@@ -308,13 +327,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.release()
     known = sk.where("id is not null and n > 0")
     reps = scratch.save(classes.drop("sketch"))
-    able, lists = _postings(scratch, classes, k, coarse, percent)
-    scratch.drop(classes)
+    able, lists = _postings(scratch, classes, k, coarse, percent)  # drops classes
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        # one way at every size: an exchange of the texts
-        out = scratch.save(texts.join(ids.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
+        # one way at every size: an exchange of the texts, without most of those nobody asked for
+        ids = scratch.save(ids)
+        out = scratch.save(_among(texts, ids).join(ids.hint("merge"), "id").mapInArrow(_setter(width), "id long, set array<long>"))
         scratch.release()
         return out
 
