@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork.functions import text as T
 from veilwork.functions.spans import MARK, matches
 from veilwork.operators import linkage, replace
 from veilwork.operators import span_algebra as S
@@ -78,3 +79,15 @@ def test_generic_phrases_are_given_out_without_a_join_of_counts(spark):
     out = linkage.resolve(m)
     assert _plan(out).count("Join") == 1
     assert sorted((str(r.doc_id), r.start, r.key) for r in out.collect()) == [("1", 0, "elm limited"), ("1", 20, "elm limited"), ("None", 0, "elm limited"), ("None", 20, "the client")]
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFKC", "NFD", "NFKD"])
+def test_normal_forms_stay_in_the_jvm(spark, form):
+    import unicodedata
+
+    cat = unicodedata.category
+    texts = ["".join(chr(p) for p in range(a, a + 256) if cat(chr(p)) not in ("Cs", "Cn")) for a in range(0, 0x30000, 256)] + ["é ﬁ Å", "plain", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = df.select("n", T.unicode_form(F.col("t"), form).alias("u"))
+    assert {r.n: r.u for r in got.collect()} == {n: t and unicodedata.normalize(form, t) for n, t in enumerate(texts)}
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
