@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions import text as T
 from veilwork.functions.spans import MARK, matches
-from veilwork.operators import linkage, replace
+from veilwork.operators import linkage, replace, validate
 from veilwork.operators import span_algebra as S
 from veilwork.plans.kyc import kyc
 
@@ -91,3 +91,12 @@ def test_normal_forms_stay_in_the_jvm(spark, form):
     got = df.select("n", T.unicode_form(F.col("t"), form).alias("u"))
     assert {r.n: r.u for r in got.collect()} == {n: t and unicodedata.normalize(form, t) for n, t in enumerate(texts)}
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_hold_no_set_of_documents(spark):
+    rows = [(1, "a", "X"), (1, "a", "Y"), (1, "b", "X"), (2, "a", "X"), (2, None, None), (None, "b", "Y")]
+    got = validate.counts(spark.createDataFrame(rows, "doc_id long, detector string, entity_type string"))
+    want = {("a", None, 3, 2), ("b", None, 2, 1), (None, "X", 3, 2), (None, "Y", 2, 1), (None, None, 1, 1), (None, None, 6, 2)}
+    out = [tuple(r) for r in got.collect()]
+    assert set(out) == want and len(out) == len(want) + 1  # the group of no detector and that of no type are alike
+    assert "Expand" not in _plan(got)
